@@ -6,18 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality as quality_rules
+from . import topk as top_k_search
 from .bpe_codec import codec_digests
 from .common import table
 from .packing import packed
+from .quality import quality
+from .secret_scan import secret_scan
 from .simhash import near_duplicates
 from .token_counts import token_counts
 from .token_files import file_digests
+from .topk import top_k
+
+
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
 
 
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -35,11 +52,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_top_k": op2_top_k,
     "op4_bpe_codec": op4_bpe_codec,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_secret_scan": op6_secret_scan,
     "op7_token_counts": op7_token_counts,
     "op8_token_files": op8_token_files,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_top_k": top_k_search.ORACLE,
+    "op5_quality_rules": quality_rules.ORACLE,
+}
