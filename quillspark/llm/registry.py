@@ -10,6 +10,7 @@ from . import quality as quality_rules
 from . import topk as top_k_search
 from .bpe_codec import codec_digests
 from .common import table
+from .lm import lm_scores
 from .packing import packed
 from .quality import quality
 from .secret_scan import secret_scan
@@ -19,6 +20,10 @@ from .token_files import file_digests
 from .topk import top_k
 
 
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
@@ -52,6 +57,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scores": op1_lm_scores,
     "op2_top_k": op2_top_k,
     "op4_bpe_codec": op4_bpe_codec,
     "op5_quality_rules": op5_quality_rules,
