@@ -15,6 +15,7 @@ from .packing import packed
 from .quality import quality
 from .secret_scan import secret_scan
 from .simhash import near_duplicates
+from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 from .token_files import file_digests
 from .topk import top_k
@@ -28,6 +29,10 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec_digests(table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scores": op1_lm_scores,
     "op2_top_k": op2_top_k,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_bpe_codec": op4_bpe_codec,
     "op5_quality_rules": op5_quality_rules,
     "op6_secret_scan": op6_secret_scan,

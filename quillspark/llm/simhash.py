@@ -56,14 +56,14 @@ def fingerprint(hashes: list[int]) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of each whole text."""
+    """doc_id, t (a hash of the text), fp (the fingerprint as a signed long) of each whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(shingle_hashes(t, size)) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps.view(np.int64))], ["doc_id", "t", "fp"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+    return texts(docs).withColumn("t", F.xxhash64("text")).mapInArrow(run, "doc_id long, t long, fp long")
 
 
 #: By bit: the first bit and the mask of its segment.
@@ -163,6 +163,18 @@ def near_pairs(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) ->
     return ordered.mapInArrow(lambda batches: _compare(batches, distance), "a long, b long").distinct()
 
 
+def _linked(marked: DataFrame, distance: int) -> DataFrame:
+    """(fp, component_id, first) of every fingerprint: the smallest doc_id of its component, and a fingerprint of its that has that id."""
+    lowest = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("lowest")))
+    found = components(near_pairs(lowest, distance))
+    best = F.min(F.struct(F.col("lowest").isNull().alias("none"), "lowest", "fp")).alias("best")
+    roots = found.join(lowest, found["node"] == lowest["fp"]).groupBy("root").agg(best)
+    linked = found.join(roots, "root").select(F.col("node").alias("fp"), "best")
+    own = F.struct(F.col("lowest").isNull().alias("none"), "lowest", "fp")
+    best = F.coalesce("best", own)
+    return stored(lowest.join(linked, "fp", "left").select("fp", best["lowest"].alias("component_id"), best["fp"].alias("first")))
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id reachable over links, itself included).
 
@@ -170,10 +182,23 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTAN
     id that is not null, if there is one. Repeated rows each give a row; other columns are left behind. Empty table: no rows.
     """
     marked = stored(fingerprints(docs, size))
-    lowest = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("lowest")))
-    links = near_pairs(lowest, distance)
-    found = components(links)  # (node, root): roots are fingerprints
-    rooted = found.join(lowest, found["node"] == lowest["fp"]).groupBy("root").agg(F.min("lowest").alias("component_id"))
-    linked = found.join(rooted, "root").select(F.col("node").alias("fp"), "component_id")
-    each = lowest.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "lowest").alias("component_id"))
+    each = _linked(marked, distance).select("fp", "component_id")
     return marked.join(each, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """The rows of docs, all columns, with one row of each component: of its smallest doc_id (null only where all are)."""
+    marked = stored(fingerprints(docs, size))
+    each = _linked(marked, distance)
+    text = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_d"), F.col("doc_id").isNull().alias("_n")]
+    chosen = marked.join(each.where("fp = first"), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("fp").agg(F.min(F.struct(*key, F.col("t").alias("_t"))).alias("k")).select("k.*", F.lit(True).alias("_chosen"))
+    rows = marked.select(*key, F.col("t").alias("_t")).groupBy("_d", "_n", "_t").count()
+    state = stored(rows.join(chosen, ["_d", "_n", "_t"], "left").select("_d", "_n", "_t", F.coalesce("_chosen", F.lit(False)).alias("_chosen"), (F.col("count") > 1).alias("_again")).where("not _chosen or _again"))
+    n = state.count()
+    state = F.broadcast(state) if n <= BROADCAST_ROWS else state
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), *key, text.alias("_t")).join(state, ["_d", "_n", "_t"], "left")
+    sole = whole.where("_chosen is null").select("_row.*")
+    # Chosen rows that are there more than once: one of them stays.
+    again = whole.where("_chosen").dropDuplicates(["_d", "_n", "_t"]).select("_row.*")
+    return sole.unionByName(again)
