@@ -24,7 +24,7 @@ from .common import stored
 CLASSES = 1024
 WIDTH = 32
 #: The most frequent words, of at most LONGEST bytes, that every task knows; others are looked up by a join.
-HEAD, LONGEST = 200_000, 64
+HEAD, LONGEST = 100_000, 64
 #: Noise tokens for each batch of true ones.
 NOISE, BATCH, RATE = 128, 2048, 0.15
 #: About so many documents give the start from which all tasks then train on all of theirs.
@@ -91,8 +91,15 @@ class Corpus:
 def corpus(training: DataFrame, counted: DataFrame, head: int = HEAD) -> Corpus:
     n, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     docs = training.count()
-    top = counted.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(head).collect()  # bounded by head * LONGEST bytes
-    return Corpus(n + docs, distinct + (docs > 0), docs, [bytes(r.word) for r in top], np.array([r.n for r in top], np.int64))
+    # The head ends at an eighth of an octave of counts, so that what is collected is bounded and needs no global sort.
+    fits = counted.where(F.length("word") <= LONGEST).withColumn("level", F.floor(8 * F.log2("n")).cast("int"))
+    least, taken = 1 << 20, 0
+    for level, words in sorted(map(tuple, fits.groupBy("level").count().collect()), reverse=True):  # at most 8 * 63 rows
+        if taken + words > head:
+            break
+        least, taken = level, taken + words
+    top = sorted(((-r.n, bytes(r.word)) for r in fits.where(F.col("level") >= least).select("n", "word").collect()))  # at most head rows
+    return Corpus(n + docs, distinct + (docs > 0), docs, [w for _, w in top], np.array([-n for n, _ in top], np.int64))
 
 
 class Classes:
