@@ -8,13 +8,14 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"
 #: Field names that carry content or credentials, and never reach a log.
 SECRET_KEYS = ("authorization", "cookie", "password", "secret", "token", "api_key")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def normalise(text: pd.Series) -> pd.Series:
     """NFKC, white space to single spaces, stripped, case-folded."""
     return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()).casefold())

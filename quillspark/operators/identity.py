@@ -88,5 +88,5 @@ def current(numbered: DataFrame) -> DataFrame:
     return numbered.groupBy("conv_id", "turn", "role").agg(
         F.max("version_number").alias("version_count"),
         F.max_by("digest", "version_number").alias("current_digest"),
-        F.max(F.when(F.col("completed"), F.col("version_number"))).alias("latest_complete"),
+        F.coalesce(F.max(F.when(F.col("completed"), F.col("version_number"))), F.lit(0)).alias("latest_complete"),
     )

@@ -136,14 +136,14 @@ def version_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"with {LOG} select conv_id, turn, role, max(version_number) as version_count, arg_max(digest, version_number) as current_digest, max(case when completed then version_number end) as latest_complete from versions group by all")
+@query(f"with {LOG} select conv_id, turn, role, max(version_number) as version_count, arg_max(digest, version_number) as current_digest, coalesce(max(case when completed then version_number end), 0) as latest_complete from versions group by all")
 def current_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.current(I.versions(C.admitted(C.capture_log(spark, sf_dir))))
 
 
 @query(f"""with {LOG} select conv_id, turn, version_number, case when first_status = 'partial' and completed then 'reconciled' else first_status end as version_status,
  case when bool_or(completed) over (partition by conv_id, turn) then 'complete' else 'partial' end as message_status,
- case when first_status = 'partial' and not completed then max(case when completed then version_number end) over (partition by conv_id, turn) end as superseded_by from versions""")
+ coalesce(case when first_status = 'partial' and not completed then max(case when completed then version_number end) over (partition by conv_id, turn) end, 0) as superseded_by from versions""")
 def partial_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = I.versions(C.admitted(C.capture_log(spark, sf_dir)))
     message = Window.partitionBy("conv_id", "turn")
@@ -151,7 +151,7 @@ def partial_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select(
         "conv_id", "turn", "version_number", F.when(partial & F.col("completed"), "reconciled").otherwise(F.col("first_status")).alias("version_status"),
         F.when(F.bool_or("completed").over(message), "complete").otherwise("partial").alias("message_status"),
-        F.when(partial & ~F.col("completed"), F.max(F.when(F.col("completed"), F.col("version_number"))).over(message)).alias("superseded_by"),
+        F.coalesce(F.when(partial & ~F.col("completed"), F.max(F.when(F.col("completed"), F.col("version_number"))).over(message)), F.lit(0)).alias("superseded_by"),
     )
 
 
@@ -198,8 +198,8 @@ def sync_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.orderBy(F.desc_nulls_last("last_captured"), "c_custkey").limit(500)
 
 
-@query(f"with {LOG}, s as (select conv_id, max(arrival) filter (rank <= 2) as snapshot_at, max(arrival) as changed_at from admitted group by conv_id) select conv_id, snapshot_at, changed_at from s where snapshot_at is null or changed_at > snapshot_at")
+@query(f"with {LOG}, s as (select conv_id, max(arrival) filter (rank <= 2) as snapshot_at, max(arrival) as changed_at from admitted group by conv_id) select conv_id, coalesce(snapshot_at, -1) as snapshot_at, changed_at from s where snapshot_at is null or changed_at > snapshot_at")
 def snapshot_dirty_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations changed since the snapshot taken after the base captures; each once, however many changes."""
     s = C.admitted(C.capture_log(spark, sf_dir)).groupBy("conv_id").agg(F.max(F.when(F.col("rank") <= 2, F.col("arrival"))).alias("snapshot_at"), F.max("arrival").alias("changed_at"))
-    return s.where("snapshot_at is null or changed_at > snapshot_at")
+    return s.where("snapshot_at is null or changed_at > snapshot_at").withColumn("snapshot_at", F.coalesce("snapshot_at", F.lit(-1)))
