@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import identity  # noqa: F401
+from . import exports, identity, operations, streams  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
