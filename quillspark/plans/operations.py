@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -81,13 +80,13 @@ def health_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("pending", "dead", "lag_seconds", "turns", "documents", "users", warn.alias("warnings"))
 
 
-@query(f"""with a as (select event_id, user_id, {_E} as t, cast(value as bigint) as size from events),
+@query(f"""with a as (select event_id, user_id, {_E} as t, cast(floor(value) as bigint) as size from events),
  w as (select *, row_number() over (partition by user_id order by t desc, event_id desc) as place from a where t >= {AS_OF} - 7 * 86400),
  s as (select *, sum(size) over (partition by user_id order by t desc, event_id desc rows unbounded preceding) as bytes from w where place <= 50)
  select user_id, event_id from s where bytes <= 2000""")
 def queue_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays in each client's bounded queue: young enough, among the newest 50, and the newest whose sizes fit."""
-    a = table(spark, sf_dir, "events").select("event_id", "user_id", epoch("ts").alias("at"), F.col("value").cast("long").alias("size")).where(F.col("at") >= AS_OF - 7 * 86400)
+    a = table(spark, sf_dir, "events").select("event_id", "user_id", epoch("ts").alias("at"), F.floor("value").alias("size")).where(F.col("at") >= AS_OF - 7 * 86400)
     newest = Window.partitionBy("user_id").orderBy(F.desc("at"), F.desc("event_id"))
     kept = a.withColumn("place", F.row_number().over(newest)).where("place <= 50")
     return kept.withColumn("bytes", F.sum("size").over(newest.rowsBetween(Window.unboundedPreceding, 0))).where("bytes <= 2000").select("user_id", "event_id")
