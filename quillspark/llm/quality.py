@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, stored
 
-WHITE = r" \t\n\u000B\f\r"
+WHITE = r" \t\n\u000B\u000C\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 10
 #: Per cent of words that may lie in windows of WINDOW words found more than once.
