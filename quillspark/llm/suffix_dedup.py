@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import stored
 from .sampled_positions import SEGMENT, Names, marks, nodes
@@ -28,7 +29,10 @@ WIDTHS = (128, 16, 1)
 #: Most rows of two numbers (or a text's runs) that are sent to all tasks; above, the join shuffles.
 BROADCAST_ROWS = 500_000
 
-NODE = "d long, t long, u int, v int, c1 long, c2 long, f long"
+#: Places in the bit table that hints which names repeat; more names only make the hint weaker.
+BITS = 27
+
+NODE = "d long, t long, p int, u int, v int, c1 long, c2 long, f long"
 
 
 def _key(docs: DataFrame) -> list[Column]:
@@ -41,41 +45,122 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(*_key(docs), text.alias("text"))
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _bits(names: DataFrame, column: str) -> np.ndarray:
+    """A bit for each name, at its low BITS bits. Its size doesn't grow with the table."""
+    at = F.col(column).bitwiseAND(F.lit((1 << BITS) - 1))
+    words = names.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(1 << (BITS - 6), np.int64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return table.view(np.uint64)
+
+
+def _set(table: np.ndarray, names: np.ndarray) -> np.ndarray:
+    low = names.view(np.uint64) & np.uint64((1 << BITS) - 1)
+    return (table[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _hinted(texts: DataFrame, hint, wanted: bool) -> DataFrame:
+    """Rows of texts whose t has its bit set, or has not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_set(hint.value, b.column("t").to_numpy()) == wanted))
+
+    return texts.mapInArrow(run, texts.schema)
+
+
+def _with(texts: DataFrame, lists: DataFrame, rows: int, left: bool = False) -> DataFrame:
+    """texts joined with a table of lists by key: sent to all tasks if small; else only texts that may have a list are shuffled."""
+    if rows <= BROADCAST_ROWS:
+        return texts.join(F.broadcast(lists), ["d", "t"], "left" if left else "inner")
+    hint = texts.sparkSession.sparkContext.broadcast(_bits(lists, "t"))
+    found = _hinted(texts, hint, True).join(lists, ["d", "t"], "left" if left else "inner")
+    if not left:
+        return found
+    return found.unionByName(_hinted(texts, hint, False), allowMissingColumns=True)
+
+
+def _names(data: bytes, wanted: list[tuple[int, int]], base: int, width: int, size: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """u, v, c1, c2, f of the runs of at most `width` windows that these runs of windows are made of; data starts at base."""
+    parts = [(a, min(a + SEGMENT - 1, last)) for first, last in wanted for a in range(first, last + 1, SEGMENT)]
+    for block, inside in _segments(parts):
+        piece = data[block - base : inside[-1][1] + size - base]
+        names = Names(piece)
+        mark = marks(names, len(piece) - size + 1, size)
+        for first, last in inside:
+            u, v, at = nodes(mark, first - block, last - block, width)
+            c1, c2 = names.pair(at, at - width + 1 + size)
+            f = names.of(u, v + size) ^ (v - u).astype(np.uint64)
+            yield (u + block).astype(np.int32), (v + block).astype(np.int32), c1.view(np.int64), c2.view(np.int64), f.view(np.int64)
+
+
+def _batch(rows: list[tuple], columns: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], columns)
+
+
+def _first_names(texts: DataFrame, width: int, size: int) -> DataFrame:
+    """c1 of every run of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                data = [t.encode() for t in b.column(0).slice(i, 256).to_pylist()]
+                found = [(x[2],) for d in data for x in _names(d, [(0, len(d) - size)], 0, width, size)]
+                if found:
+                    yield _batch(found, ["c1"])
 
+    return texts.select("text").mapInArrow(run, "c1 long")
 
-def _ranked(texts: DataFrame, width: int, size: int) -> DataFrame:
-    """Runs of windows u..v of each text, or of its given runs, with the names of the two halves of their common string
-    (c1, c2) and of all they cover (f)."""
-    given = "runs" in texts.columns
+
+def _first_round(texts: DataFrame, width: int, size: int, hint) -> DataFrame:
+    """The runs whose c1 may repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                keys, out = (part.column(0).to_pylist(), part.column(1).to_pylist()), []
-                for k, text in enumerate(part.column(2).to_pylist()):
+                part, out = b.slice(i, 256), []
+                for d, t, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    data = text.encode()
+                    for u, v, c1, c2, f in _names(data, [(0, len(data) - size)], 0, width, size):
+                        k = np.flatnonzero(_set(hint.value, c1))
+                        out.append((np.full(len(k), d), np.full(len(k), t), u[k], u[k], v[k], c1[k], c2[k], f[k]))
+                if out:
+                    yield _batch(out, [x.split()[0] for x in NODE.split(", ")])
+
+    return texts.select("d", "t", "text").mapInArrow(run, NODE)
+
+
+def _pieces(texts: DataFrame, size: int) -> DataFrame:
+    """The bytes of each run of windows of texts' lists (u, v): p is where they start."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 64):
+                rows = []
+                for d, t, text, runs in zip(*(c.to_pylist() for c in b.slice(i, 64).columns), strict=True):
                     data = text.encode()
-                    wanted = sorted((r["u"], r["v"]) for r in part.column(3)[k].as_py()) if given else [(0, len(data) - size)]
-                    for first, last in wanted:
-                        if last - first >= SEGMENT:
-                            wanted += [(a, min(a + SEGMENT - 1, last)) for a in range(first, last + 1, SEGMENT)]
-                    wanted = [(a, z) for a, z in wanted if 0 <= z - a < SEGMENT]
-                    for block, inside in _segments(wanted):
-                        piece = data[block : inside[-1][1] + size]
-                        names = Names(piece)
-                        mark = marks(names, len(piece) - size + 1, size)
-                        for first, last in inside:
-                            u, v, at = nodes(mark, first - block, last - block, width)
-                            c1, c2 = names.pair(at, at - width + 1 + size)
-                            f = names.of(u, v + size) ^ (v - u).astype(np.uint64)
-                            out.append((np.full(len(u), keys[0][k]), np.full(len(u), keys[1][k]), (u + block).astype(np.int32), (v + block).astype(np.int32), c1.view(np.int64), c2.view(np.int64), f.view(np.int64)))
+                    rows += [(d, t, r["u"], data[r["u"] : r["v"] + size], [r]) for r in runs]
+                columns = zip(*rows, strict=True) if rows else [()] * 5
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.struct([("u", pa.int32()), ("v", pa.int32())]))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["d", "t", "p", "data", "runs"])
+
+    return texts.select("d", "t", "text", "runs").mapInArrow(run, "d long, t long, p int, data binary, runs array<struct<u:int,v:int>>")
+
+
+def _next_round(pieces: DataFrame, width: int, size: int) -> DataFrame:
+    """The given runs of pieces, cut finer, with names of longer prefixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 512):
+                out = []
+                for d, t, p, data, runs in zip(*(c.to_pylist() for c in b.slice(i, 512).columns), strict=True):
+                    for u, v, c1, c2, f in _names(data, [(r["u"], r["v"]) for r in runs], p, width, size):
+                        out.append((np.full(len(u), d), np.full(len(u), t), np.full(len(u), p, np.int32), u, v, c1, c2, f))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], [x.split()[0] for x in NODE.split(", ")])
+                    yield _batch(out, [x.split()[0] for x in NODE.split(", ")])
 
-    columns = ["d", "t", "text", *["runs"] * given]
-    return texts.select(*columns).mapInArrow(run, NODE)
+    return pieces.select("d", "t", "p", "data", "runs").mapInArrow(run, NODE)
 
 
 def _segments(wanted: list[tuple[int, int]]) -> Iterator[tuple[int, list[tuple[int, int]]]]:
@@ -95,28 +180,30 @@ def _labelled(ranked: DataFrame) -> DataFrame:
     alike = ranked.groupBy("c1", "c2", "f").agg(F.count("*").alias("copies"), F.min(F.struct("d", "t", "u")).alias("chosen"))
     common = alike.groupBy("c1", "c2").agg(F.count("*").alias("kinds"), F.sum("copies").alias("total")).where("total > 1")
     known = alike.join(common, ["c1", "c2"])
-    return ranked.join(known, ["c1", "c2", "f"]).select("d", "t", "u", "v", "copies", "kinds", (F.col("chosen") == F.struct("d", "t", "u")).alias("stands"))
+    return ranked.join(known, ["c1", "c2", "f"]).select("d", "t", "p", "u", "v", "copies", "kinds", (F.col("chosen") == F.struct("d", "t", "u")).alias("stands"))
 
 
 def repeated_runs(docs: DataFrame, size: int = SIZE, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """(d, t, runs): of every text with a byte in a string of `size` bytes that starts anywhere else too, the maximal runs
     (start, end) of such bytes, in order. A text that occurs in no other place is not there."""
     texts = keyed(docs).where(F.octet_length("text") >= size)
-    ranked = stored(_ranked(texts, widths[0], size))
-    # Most suffixes are unique already by half their rank: they go before whole rows are shuffled.
-    often = stored(ranked.groupBy("c1").count().where("count > 1").select("c1"))
-    ranked = ranked.join(_small(often, often.count()), "c1", "left_semi")
-    found = []
-    for step, width in enumerate(widths):
-        if step:
-            runs = going.groupBy("d", "t").agg(F.collect_list(F.struct("u", "v")).alias("runs"))
-            ranked = stored(_ranked(texts.join(_small(runs, many), ["d", "t"]), width, size))
-        labelled = stored(_labelled(ranked))
+    # Most suffixes are unique already by half their rank: only names that may repeat go on, with all that belongs to them.
+    often = _first_names(texts, widths[0], size).groupBy("c1").count().where("count > 1")
+    hint = docs.sparkSession.sparkContext.broadcast(_bits(often, "c1"))
+    found, ranked = [], _first_round(texts, widths[0], size, hint)
+    for step in range(len(widths)):
+        labelled = stored(_labelled(stored(ranked)))
         found.append(labelled.where("copies > 1").select("d", "t", "u", (F.col("v") + size).alias("end")))
-        going = labelled.where("kinds > 1 and (copies = 1 or stands)").select("d", "t", "u", "v").distinct()
-        many = going.count()
-        if not many:
+        going = labelled.where("kinds > 1 and (copies = 1 or stands)").select("d", "t", "p", "u", "v").distinct()
+        if step + 1 == len(widths) or going.isEmpty():
             break
+        if step == 0:
+            lists = stored(going.groupBy("d", "t").agg(F.collect_list(F.struct("u", "v")).alias("runs")))
+            pieces = stored(_pieces(_with(texts, lists, going.count()), size))
+        else:
+            lists = going.groupBy("d", "t", "p").agg(F.collect_list(F.struct("u", "v")).alias("runs"))
+            pieces = pieces.drop("runs").join(lists, ["d", "t", "p"])
+        ranked = _next_round(pieces, widths[step + 1], size)
     spans = found[0]
     for more in found[1:]:
         spans = spans.unionByName(more)
@@ -133,7 +220,7 @@ def _with_runs(docs: DataFrame, size: int, widths: tuple[int, ...], *more: str)
     rows = runs.count()
     text = F.coalesce(docs["text"], F.lit(""))
     whole = docs.select(*more, "doc_id", *_key(docs), text.alias("text"))
-    return whole.join(_small(runs, rows), ["d", "t"], "left")
+    return _with(whole, runs, rows, left=True)
 
 
 def _cut(data: bytes, runs: list[dict] | None) -> bytes:
@@ -169,14 +256,16 @@ def suffix_dedup(docs: DataFrame, size: int = SIZE, widths: tuple[int, ...] = WI
 def without_repeats(docs: DataFrame, size: int = SIZE, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """docs, all columns, with those bytes gone from text, and n_chars (if there) counted again. Of a character that a cut
     splits the rest goes too. A null text stays null."""
-    whole = docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    # The other columns travel as one struct, so that none clashes with the runs' and the text is there once.
+    others = [docs[c] for c in docs.columns if c != "text"]
+    whole = docs.select("doc_id", "text", F.struct(*others, docs["text"].isNull().alias("_none")).alias("_row"))
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def clean(text, runs):
         return text.combine(runs, lambda t, r: t if r is None or not len(r) else _cut(t.encode(), r).decode("utf-8", "ignore"))
 
     out = _with_runs(whole, size, widths, "_row")
     out = out.withColumn("clean", F.when(F.col("runs").isNull(), F.col("text")).otherwise(clean("text", "runs")))
-    out = out.withColumn("clean", F.when(F.col("_row.text").isNotNull(), F.col("clean")))
+    out = out.withColumn("clean", F.when(~F.col("_row._none"), F.col("clean")))
     changed = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
-    return out.select(*[changed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
+    return out.select(*[changed[c].alias(c) if c in changed else F.col("_row")[c].alias(c) for c in docs.columns])
