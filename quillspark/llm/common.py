@@ -27,6 +27,9 @@ def _own_folder() -> str:
 def shared_dir(spark: SparkSession) -> str:
     """A new name in the folder all executors share: spark.checkpoint.dir, or where that is unset (a test) a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    if "://" not in base:  # a bare path is in the session's default store, which tasks that write files must know too
+        path = spark._jvm.org.apache.hadoop.fs.Path(base)
+        base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().replace("file:/", "file:///", 1)
     return f"{base.rstrip('/')}/quill-{uuid.uuid4().hex}"
 
 
