@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import records as R
+from ..functions.text import bucket, pseudonym
 from ..operators import capture as C
 from ..sources.sinks import gzip_json_lines
 from ..sources.tables import epoch, table
@@ -212,3 +214,29 @@ def replayed_upsert_touch(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = C.outcomes(C.capture_log(spark, sf_dir))
     g = o.groupBy("conv_id").agg(F.max(F.when(F.col("outcome") != "rejected", F.col("arrival"))).alias("last_touched"), F.count_if(F.col("outcome") == "replayed").alias("replays"), F.count_if(F.col("outcome") == "admitted").alias("events"), F.countDistinct("turn").alias("turns"))
     return g.select("conv_id", "last_touched", "replays", "events", F.concat(F.lit("k-"), F.substring(F.sha2(F.concat_ws("|", F.col("conv_id").cast("string"), F.col("turns").cast("string")), 256), 1, 40)).alias("upsert_key"))
+
+
+@query(r"""select event_id, sha256(replace(props, ' ', '')) as document_sha256, cast(('0x' || substr(sha256(replace(props, ' ', '')), 1, 8)) as bigint) % 2000000000 + 1 as config_version from events""")
+def config_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest and version number of each document in canonical form."""
+    own = table(spark, sf_dir, "events").select("event_id", R.canonical_json(F.col("props")).alias("document"))
+    return own.select("event_id", F.sha2("document", 256).alias("document_sha256"), R.config_version(F.col("document")).alias("config_version"))
+
+
+HOSTS = ["ththth.example.net", "m.ththth.example.net", "thther.example.org"]
+
+
+@query(f"select page_id, starts_with(url, 'https://') and regexp_extract(url, '^https?://([^/?#:]+)', 1) in ({', '.join(map(repr, HOSTS))}) as allowed, regexp_extract(url, '^https?://([^/?#:]+)', 1) as host, coalesce(nullif(regexp_extract(url, '[?&]page=([0-9]+)', 1), ''), '1') as place from pages")
+def url_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages")
+    place = F.coalesce(F.nullif(F.regexp_extract("url", "[?&]page=([0-9]+)", 1), F.lit("")), F.lit("1"))
+    return p.select("page_id", R.allowed_url(p["url"], HOSTS).alias("allowed"), F.try_parse_url("url", F.lit("HOST")).alias("host"), place.alias("place"))
+
+
+@query(f"""select event_id, {_E} - {_E} % 300 as bucket, regexp_replace(event_type, '[^0-9a-f]', '0', 'g') || repeat('0', 64 - length(event_type)) as placeholder_digest,
+ sha256('archive|' || lower(trim(cast(user_id as varchar)))) as actor from events""")
+def event_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buckets, placeholder digests of 64 hexadecimal digits and pseudonymous actors."""
+    e = table(spark, sf_dir, "events")
+    digest = F.rpad(F.regexp_replace("event_type", "[^0-9a-f]", "0"), 64, "0")
+    return e.select("event_id", bucket(epoch("ts")).alias("bucket"), digest.alias("placeholder_digest"), pseudonym(F.col("user_id").cast("string"), "archive").alias("actor"))

@@ -69,10 +69,10 @@ def safe_filenames(spark: SparkSession, sf_dir: str) -> DataFrame:
 KIND = "case when lower(event_type) like '%delet%' or lower(event_type) like '%purge%' then 'deletion' when lower(event_type) like '%error%' then 'failure' when lower(event_type) like '%view%' or lower(event_type) like '%click%' then 'activity' else 'message' end"
 
 
-@query(f"select event_id, {KIND} as kind, lower(event_type) like '%delet%' as is_deletion, {EPOCH.format('ts')} as event_seconds, json_extract_string(props, '$.page') as page from events")
+@query(f"select event_id, {KIND} as kind, lower(event_type) like '%delet%' as is_deletion, {EPOCH.format('ts')} as event_seconds, json_extract_string(props, '$.k') as field from events")
 def classify_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.select("event_id", F.expr(KIND).alias("kind"), F.lower("event_type").contains("delet").alias("is_deletion"), epoch("ts").alias("event_seconds"), F.get_json_object("props", "$.page").alias("page"))
+    return e.select("event_id", F.expr(KIND).alias("kind"), F.lower("event_type").contains("delet").alias("is_deletion"), epoch("ts").alias("event_seconds"), F.get_json_object("props", "$.k").alias("field"))
 
 
 def _redaction_sql() -> str:
