@@ -44,10 +44,10 @@ class Memo(dict):
 class Chunks:
     """Encoded forms of a text's chunks, in order."""
 
-    def __init__(self, encode: Callable[[str], object]):
+    def __init__(self, encode: Callable[[str], object], most: int = 400_000):
         self.cut = Memo(encode)
         #: keys without the space that stands before a chunk: those that begin with a line break have none.
-        self.spaced = Memo(lambda key: self.cut.encode(key if key[0] == "\n" else f" {key}"))
+        self.spaced = Memo(lambda key: self.cut.encode(key if key[0] == "\n" else f" {key}"), most)
 
     def __call__(self, text: str) -> list:
         if not text:

@@ -1,4 +1,4 @@
-"""Whole texts to ids with the tokenizers library, chunk by chunk; the library encodes each chunk that is not in memory."""
+"""Whole texts to ids with the tokenizers library, chunk by chunk; the library's model encodes each chunk that is not in memory."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import os
 import struct
 from functools import cache
 
-from .chunks import Chunks
+from .chunks import Chunks, byte_letters, pattern
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -23,7 +23,17 @@ class LibraryIds:
         self.library = Tokenizer.from_file(public.path(vocabulary))
         with open(public.path(vocabulary), encoding="utf-8") as f:
             self.special = [x["content"] for x in json.load(f)["added_tokens"]]
-        self.chunks = Chunks(self._plain)
+        self.split, self.letters = pattern(public.PATTERN), byte_letters()
+        self.ascii = {b: self.letters[b] for b in range(128)}
+        self.model = self.library.model
+        self.chunks = Chunks(self._chunk, 300_000)
+
+    def _chunk(self, chunk: str) -> bytes:
+        ids = []
+        for piece in self.split.findall(chunk):
+            word = piece.translate(self.ascii) if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+            ids += [t.id for t in self.model.tokenize(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _plain(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids
