@@ -21,6 +21,7 @@ def spark(tmp_path_factory):
         .config("spark.driver.memory", "4g")
         .config("spark.checkpoint.dir", f"file://{folder}")
         .config("spark.sql.warehouse.dir", f"{folder}/warehouse")
+        .config("spark.sql.maxMetadataStringLength", "2000")  # plans name all pushed filters
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
