@@ -25,6 +25,8 @@ SEEKABLE = 0x8F92EAB1
 CHECKSUMS = 0x80
 
 FRAME_BYTES = 1 << 18
+#: Chunks that a worker process remembers: tasks here hold little else, so more than elsewhere.
+REMEMBERED = 600_000
 
 
 def _checksum(data: bytes) -> int:
@@ -111,7 +113,7 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        encode, end = library_ids(vocabulary), struct.pack("<I", end_id)
+        encode, end = library_ids(vocabulary, REMEMBERED), struct.pack("<I", end_id)
         task = TaskContext.get()
         name = f"ids-{task.partitionId():07d}-{task.taskAttemptId()}.zst"
         system = path = writer = None
