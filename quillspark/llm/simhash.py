@@ -149,6 +149,8 @@ def near_pairs(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) ->
     A signature that more than `block` fingerprints share is cut into numbered blocks by the fingerprint's hash, and every
     pair of its blocks is compared on its own, so no task takes more than two blocks of one signature at a time.
     """
+    if not 0 <= distance < 2 * len(SEGMENTS):
+        raise ValueError(f"{len(SEGMENTS)} segments with one wildcard find all pairs up to {2 * len(SEGMENTS) - 1} bits apart, not {distance}")
     fps = fps.select("fp").distinct()
     large = stored(large_signatures(fps, block))
     n = large.count()
@@ -163,10 +165,12 @@ def near_pairs(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) ->
     return ordered.mapInArrow(lambda batches: _compare(batches, distance), "a long, b long").distinct()
 
 
-def _linked(marked: DataFrame, distance: int) -> DataFrame:
-    """(fp, component_id, first) of every fingerprint: the smallest doc_id of its component, and a fingerprint of its that has that id."""
+def _linked(marked: DataFrame, links: DataFrame | None = None, distance: int = DISTANCE) -> DataFrame:
+    """(fp, component_id, first) of every fingerprint: the smallest doc_id of its component, and a fingerprint of its that has that id.
+
+    Links are the given ones, or those between near fingerprints."""
     lowest = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("lowest")))
-    found = components(near_pairs(lowest, distance))
+    found = components(near_pairs(lowest, distance) if links is None else links)
     best = F.min(F.struct(F.col("lowest").isNull().alias("none"), "lowest", "fp")).alias("best")
     roots = found.join(lowest, found["node"] == lowest["fp"]).groupBy("root").agg(best)
     linked = found.join(roots, "root").select(F.col("node").alias("fp"), "best")
@@ -182,14 +186,19 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTAN
     id that is not null, if there is one. Repeated rows each give a row; other columns are left behind. Empty table: no rows.
     """
     marked = stored(fingerprints(docs, size))
-    each = _linked(marked, distance).select("fp", "component_id")
+    each = _linked(marked, distance=distance).select("fp", "component_id")
     return marked.join(each, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """The rows of docs, all columns, with one row of each component: of its smallest doc_id (null only where all are)."""
     marked = stored(fingerprints(docs, size))
-    each = _linked(marked, distance)
+    return first_of_each(docs, marked, distance=distance)
+
+
+def first_of_each(docs: DataFrame, marked: DataFrame, links: DataFrame | None = None, distance: int = DISTANCE) -> DataFrame:
+    """The rows of docs with one row of each component; marked has their doc_id, t and fp, links those between values of fp."""
+    each = _linked(marked, links, distance)
     text = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_d"), F.col("doc_id").isNull().alias("_n")]
     chosen = marked.join(each.where("fp = first"), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("fp").agg(F.min(F.struct(*key, F.col("t").alias("_t"))).alias("k")).select("k.*", F.lit(True).alias("_chosen"))
