@@ -11,7 +11,8 @@ string repeats are cut finer, with prefixes that come nearer to the threshold, d
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,13 @@ BROADCAST_ROWS = 500_000
 #: Places in the bit table that hints which names repeat; more names only make the hint weaker.
 BITS = 27
 
+#: Words of a passage that counts as a repeat in the pipeline, and bytes of a word's hash there.
+PASSAGE, WORD = 51, 6
+PASSAGE_WIDTHS = (96, 16, 1)
+WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
+
+Encode = Callable[[str], bytes]
+
 NODE = "d long, t long, p int, u int, v int, c1 long, c2 long, f long"
 
 
@@ -45,6 +53,14 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(*_key(docs), text.alias("text"))
 
 
+def word_hashes(text: str) -> bytes:
+    """A text as its words' hashes of WORD bytes, so that a passage is a string whatever white space is in it."""
+    import xxhash
+
+    digest = xxhash.xxh3_64_digest
+    return b"".join([digest(w)[:WORD] for w in text.encode().split()])  # bytes split at exactly \x20 and \x09-\x0D
+
+
 def _bits(names: DataFrame, column: str) -> np.ndarray:
     """A bit for each name, at its low BITS bits. Its size doesn't grow with the table."""
     at = F.col(column).bitwiseAND(F.lit((1 << BITS) - 1))
@@ -98,13 +114,13 @@ def _batch(rows: list[tuple], columns: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], columns)
 
 
-def _first_names(texts: DataFrame, width: int, size: int) -> DataFrame:
+def _first_names(texts: DataFrame, width: int, size: int, encode: Encode) -> DataFrame:
     """c1 of every run of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 256):
-                data = [t.encode() for t in b.column(0).slice(i, 256).to_pylist()]
+                data = [encode(t) for t in b.column(0).slice(i, 256).to_pylist()]
                 found = [(x[2],) for d in data for x in _names(d, [(0, len(d) - size)], 0, width, size)]
                 if found:
                     yield _batch(found, ["c1"])
@@ -112,7 +128,7 @@ def _first_names(texts: DataFrame, width: int, size: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "c1 long")
 
 
-def _first_round(texts: DataFrame, width: int, size: int, hint) -> DataFrame:
+def _first_round(texts: DataFrame, width: int, size: int, hint, encode: Encode) -> DataFrame:
     """The runs whose c1 may repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +136,7 @@ def _first_round(texts: DataFrame, width: int, size: int, hint) -> DataFrame:
             for i in range(0, b.num_rows, 256):
                 part, out = b.slice(i, 256), []
                 for d, t, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    data = text.encode()
+                    data = encode(text)
                     for u, v, c1, c2, f in _names(data, [(0, len(data) - size)], 0, width, size):
                         k = np.flatnonzero(_set(hint.value, c1))
                         out.append((np.full(len(k), d), np.full(len(k), t), u[k], u[k], v[k], c1[k], c2[k], f[k]))
@@ -130,7 +146,7 @@ def _first_round(texts: DataFrame, width: int, size: int, hint) -> DataFrame:
     return texts.select("d", "t", "text").mapInArrow(run, NODE)
 
 
-def _pieces(texts: DataFrame, size: int) -> DataFrame:
+def _pieces(texts: DataFrame, size: int, encode: Encode) -> DataFrame:
     """The bytes of each run of windows of texts' lists (u, v): p is where they start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +154,7 @@ def _pieces(texts: DataFrame, size: int) -> DataFrame:
             for i in range(0, b.num_rows, 64):
                 rows = []
                 for d, t, text, runs in zip(*(c.to_pylist() for c in b.slice(i, 64).columns), strict=True):
-                    data = text.encode()
+                    data = encode(text)
                     rows += [(d, t, r["u"], data[r["u"] : r["v"] + size], [r]) for r in runs]
                 columns = zip(*rows, strict=True) if rows else [()] * 5
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.struct([("u", pa.int32()), ("v", pa.int32())]))]
@@ -183,14 +199,16 @@ def _labelled(ranked: DataFrame) -> DataFrame:
     return ranked.join(known, ["c1", "c2", "f"]).select("d", "t", "p", "u", "v", "copies", "kinds", (F.col("chosen") == F.struct("d", "t", "u")).alias("stands"))
 
 
-def repeated_runs(docs: DataFrame, size: int = SIZE, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+def repeated_runs(docs: DataFrame, size: int = SIZE, widths: tuple[int, ...] = WIDTHS, encode: Encode = str.encode, least: int | None = None) -> DataFrame:
     """(d, t, runs): of every text with a byte in a string of `size` bytes that starts anywhere else too, the maximal runs
-    (start, end) of such bytes, in order. A text that occurs in no other place is not there."""
-    texts = keyed(docs).where(F.octet_length("text") >= size)
+    (start, end) of such bytes, in order. A text that occurs in no other place is not there.
+
+    Bytes are those that `encode` makes of a text; only texts of `least` bytes (else `size`) can have so many."""
+    texts = keyed(docs).where(F.octet_length("text") >= (size if least is None else least))
     # Most suffixes are unique already by half their rank: only names that may repeat go on, with all that belongs to them.
-    often = _first_names(texts, widths[0], size).groupBy("c1").count().where("count > 1")
+    often = _first_names(texts, widths[0], size, encode).groupBy("c1").count().where("count > 1")
     hint = docs.sparkSession.sparkContext.broadcast(_bits(often, "c1"))
-    found, ranked = [], _first_round(texts, widths[0], size, hint)
+    found, ranked = [], _first_round(texts, widths[0], size, hint, encode)
     for step in range(len(widths)):
         labelled = stored(_labelled(stored(ranked)))
         found.append(labelled.where("copies > 1").select("d", "t", "u", (F.col("v") + size).alias("end")))
@@ -199,7 +217,7 @@ def repeated_runs(docs: DataFrame, size: int = SIZE, widths: tuple[int, ...] = W
             break
         if step == 0:
             lists = stored(going.groupBy("d", "t").agg(F.collect_list(F.struct("u", "v")).alias("runs")))
-            pieces = stored(_pieces(_with(texts, lists, going.count()), size))
+            pieces = stored(_pieces(_with(texts, lists, going.count()), size, encode))
         else:
             lists = going.groupBy("d", "t", "p").agg(F.collect_list(F.struct("u", "v")).alias("runs"))
             pieces = pieces.drop("runs").join(lists, ["d", "t", "p"])
@@ -215,8 +233,7 @@ def repeated_runs(docs: DataFrame, size: int = SIZE, widths: tuple[int, ...] = W
     return stored(spans.groupBy("d", "t").agg(F.sort_array(F.collect_set(F.struct("u", "end"))).alias("s")).select("d", "t", F.expr(merge).alias("runs")))
 
 
-def _with_runs(docs: DataFrame, size: int, widths: tuple[int, ...], *more: str) -> DataFrame:
-    runs = repeated_runs(docs, size, widths)
+def _with_runs(docs: DataFrame, runs: DataFrame, *more: str) -> DataFrame:
     rows = runs.count()
     text = F.coalesce(docs["text"], F.lit(""))
     whole = docs.select(*more, "doc_id", *_key(docs), text.alias("text"))
@@ -249,22 +266,39 @@ def suffix_dedup(docs: DataFrame, size: int = SIZE, widths: tuple[int, ...] = WI
             n, removed, spans, digest = zip(*rows, strict=True) if rows else ((),) * 4
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (n, removed, spans)), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = _with_runs(docs, size, widths).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "runs")
+    joined = _with_runs(docs, repeated_runs(docs, size, widths)).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "runs")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, size: int = SIZE, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """docs, all columns, with those bytes gone from text, and n_chars (if there) counted again. Of a character that a cut
     splits the rest goes too. A null text stays null."""
+    return _cleaned(docs, lambda whole: repeated_runs(whole, size, widths), _cut)
+
+
+def _cut_words(data: bytes, runs: list[dict], words: int) -> bytes:
+    """data without the runs, given in bytes of its words' hashes, that hold so many whole words."""
+    at = [m.span() for m in WORDS.finditer(data)]
+    inside = [(-(-r["start"] // WORD), r["end"] // WORD) for r in runs]
+    return _cut(data, [{"start": at[a][0], "end": at[b - 1][1]} for a, b in inside if b - a >= words])
+
+
+def without_passages(docs: DataFrame, words: int = PASSAGE, widths: tuple[int, ...] = PASSAGE_WIDTHS) -> DataFrame:
+    """docs, all columns, without each word that lies in a run of `words` words which also starts anywhere else in the table,
+    and without the white space inside such runs; n_chars (if there) is counted again. A null text stays null."""
+    return _cleaned(docs, lambda whole: repeated_runs(whole, words * WORD, widths, word_hashes, 2 * words - 1), lambda data, runs: _cut_words(data, runs, words))
+
+
+def _cleaned(docs: DataFrame, find: Callable[[DataFrame], DataFrame], cut: Callable[[bytes, list[dict]], bytes]) -> DataFrame:
     # The other columns travel as one struct, so that none clashes with the runs' and the text is there once.
     others = [docs[c] for c in docs.columns if c != "text"]
     whole = docs.select("doc_id", "text", F.struct(*others, docs["text"].isNull().alias("_none")).alias("_row"))
 
     @F.pandas_udf(StringType())
     def clean(text, runs):
-        return text.combine(runs, lambda t, r: t if r is None or not len(r) else _cut(t.encode(), r).decode("utf-8", "ignore"))
+        return text.combine(runs, lambda t, r: t if r is None or not len(r) else cut(t.encode(), r).decode("utf-8", "ignore"))
 
-    out = _with_runs(whole, size, widths, "_row")
+    out = _with_runs(whole, find(whole), "_row")
     out = out.withColumn("clean", F.when(F.col("runs").isNull(), F.col("text")).otherwise(clean("text", "runs")))
     out = out.withColumn("clean", F.when(~F.col("_row._none"), F.col("clean")))
     changed = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
