@@ -2,7 +2,7 @@
 
 A pattern's spans come from the gaps that split() leaves and the matches that regexp_extract_all() gives. Candidate strings
 of a character class become spans if some window of theirs has high Shannon entropy, kept by counts that change by the one
-character that enters and the one that leaves, unless the allow list knows what they are.
+character that enters and the one that leaves, unless the allow list knows what they are. Windows lie between sample values.
 """
 
 from __future__ import annotations
@@ -24,8 +24,13 @@ CLASSES = {
     "entropy16": ("0123456789ABCDEFabcdef", 16, 2.8),
 }
 KINDS = [*BASE, *CLASSES]
-#: Candidates that are no secrets: numbers, letters of one case or capitalised, words joined by - / _, and sample values.
-ALLOWED = r"^[0-9]+$|^[A-Za-z]?[a-z]+$|^[A-Z]+$|^[A-Za-z]*([-_/+]+[A-Za-z]+|[-_/+]+[0-9]{1,4}(?![0-9]))*[-_/+]*$|(?i:example|sample|placeholder|changeme|dummy|x{6}|abcdef|012345|123456)"
+#: Sample values. A window that holds one is not counted.
+SAMPLE = r"(?i:example|sample|placeholder|changeme|dummy|x{6}|abcdef|012345|123456)"
+#: What may stand between - _ / +: letters of one case, camel-case words of 2 to 15 letters, and up to 4 digits.
+PART = r"(?:[A-Za-z]?[a-z]+|[A-Z]+|[A-Z]?[a-z]{2,15}(?:[A-Z][a-z]{2,15}){1,5}|[0-9]{1,4})"
+#: Candidates that are no secrets: numbers, such parts, and sample values with no room for a window before, between or after them.
+LEAST = min(window for _, window, _ in CLASSES.values())
+ALLOWED = rf"^[0-9]+$|^[-_/+]*{PART}(?:[-_/+]+{PART})*[-_/+]*$|^(?:.{{0,{LEAST - 1}}}?{SAMPLE})+.{{0,{LEAST - 1}}}$"
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 BLOCK = 256
@@ -93,7 +98,8 @@ def spans() -> Column:
         else:
             alphabet, window, bits = CLASSES[kind]
             found = _located(f"[{_class(alphabet)}]+", 0)
-            wanted = f"case when length(x.hit) < {window} or x.hit rlike '{_quoted(ALLOWED)}' then false else {_best_entropy('x.hit', alphabet, window)} >= {bits}D end"
+            free = f"exists(split(x.hit, '{_quoted(SAMPLE)}'), part -> case when length(part) < {window} then false else {_best_entropy('part', alphabet, window)} >= {bits}D end)"
+            wanted = f"case when length(x.hit) < {window} or x.hit rlike '{_quoted(ALLOWED)}' then false else {free} end"
         kept = f"transform(filter({found}, x -> {wanted}), x -> struct(x.start as start, {k} as kind, x.end as end))"
         parts.append(f"case when text rlike '{_quoted(_prefilter(kind))}' then {kept} else cast(array() as {SPAN}) end")
     return F.expr(f"sort_array(concat({', '.join(parts)}))")
