@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from ..sources.tables import event_stream, instant
 
 LATENESS = "10 minutes"
+#: Rows of a file of the replayed table.
+FILE_ROWS = 1_000_000
 
 
 def scratch(spark: SparkSession) -> str:
@@ -42,13 +45,28 @@ def minute_rates(events: DataFrame, width: str = "1 hour") -> DataFrame:
     return by.select(F.unix_seconds("w.start").alias("start"), "event_type", "n")
 
 
-def stream_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of the files in its folder."""
+def stream_of(spark: SparkSession, sf_dir: str, times: int = 1) -> DataFrame:
+    """The events table as a stream in the order of its times, each row so many times in a micro-batch.
+
+    The table's own files may overlap in time and have any order, and a watermark would drop rows that it overtook. So the
+    replay reads a copy in ranges of time, whose files' modification times follow the ranges. Where a store does not keep
+    these times, all files are one micro-batch, in which nothing is late."""
     batch = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return event_stream(spark, _files(spark, sf_dir), batch.schema)
+    folder = f"{scratch(spark)}/events"
+    batch.repartitionByRange(max(1, -(-batch.count() // FILE_ROWS)), "ts").sortWithinPartitions("ts").write.parquet(folder)
+    files = _in_order(spark, folder)
+    streams = [event_stream(spark, folder, batch.schema, *([] if files is None else [files])) for _ in range(times)]
+    return reduce(DataFrame.union, streams)
 
 
-def _files(spark: SparkSession, sf_dir: str) -> str:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+def _in_order(spark: SparkSession, folder: str) -> int | None:
+    """Let the files, in the order of their names, have times a second apart; how many they are where that fails."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return f"{sf_dir}/events.parquet" if system.getFileStatus(path).isDirectory() else f"{sf_dir}/event[s].parquet"
+    listed = lambda: {x.getPath().getName(): x for x in system.listStatus(path) if x.getPath().getName().startswith("part-")}
+    found = listed()
+    first = min((x.getModificationTime() for x in found.values()), default=0) // 1000 * 1000
+    for k, name in enumerate(sorted(found)):
+        system.setTimes(found[name].getPath(), first + 1000 * k, -1)
+    kept = [x.getModificationTime() for _, x in sorted(listed().items())]
+    return None if all(a < b for a, b in zip(kept, kept[1:], strict=False)) else len(kept)
