@@ -16,6 +16,9 @@ DROPPED = {"script", "style", "iframe", "object", "embed", "noscript", "template
 ALLOWED = {"p", "br", "b", "i", "em", "strong", "code", "pre", "ul", "ol", "li", "a", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "table", "thead", "tbody", "tr", "td", "th", "div", "span"}
 ATTRIBUTES = {"a": {"href", "title"}, "code": {"class"}}
 VOID = {"br", "img", "hr", "meta", "link", "input"}
+#: Elements that never have an end tag, and those that a sibling of the same name ends.
+EMPTY = VOID | {"area", "base", "col", "embed", "param", "source", "track", "wbr"}
+SIBLINGS = {"p", "li", "td", "th", "tr", "option"}
 PART = "struct<index:int,kind:string,language:string,text:string,level:int>"
 
 
@@ -42,9 +45,13 @@ class Page(HTMLParser):
         self.buffer, self.kind, self.language, self.level = [], "paragraph", "", 0
 
     def handle_starttag(self, tag, attrs):
-        if tag in DROPPED:
-            self.skip += 1
-        if self.skip:
+        if tag not in EMPTY:
+            if len(self.open) > self.skip and self.open[-1] == ("p" if tag == "form" else tag) and self.open[-1] in SIBLINGS:
+                self.open.pop()
+            self.open.append(tag)
+            if tag in DROPPED and not self.skip:
+                self.skip = len(self.open)  # until this element or one around it ends
+        if self.skip or tag in DROPPED:
             return
         given = {k: v or "" for k, v in attrs}
         self.in_title |= tag == "title"
@@ -65,10 +72,11 @@ class Page(HTMLParser):
             self.safe.append(f"<{tag}{kept}>")
 
     def handle_endtag(self, tag):
-        if tag in DROPPED:
-            self.skip = max(0, self.skip - 1)
-            return
-        if self.skip:
+        if tag in self.open:
+            del self.open[len(self.open) - 1 - self.open[::-1].index(tag) :]
+            if len(self.open) < self.skip:
+                self.skip = 0
+        if self.skip or tag in DROPPED:
             return
         if tag == "title":
             self.in_title = False
