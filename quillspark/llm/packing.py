@@ -85,7 +85,7 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = 2, capac
 
 def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """Adds sequence_id and offset to a table of pieces. Full pieces are sequences as they are (negative numbers);
-    the others are dealt to tasks of about `group` pieces. Each packs its own in mixed order (better for many) and longest
+    the others are dealt to tasks of about `group` pieces, by id, piece and (if there) a row number. Each packs its own in mixed order (better for many) and longest
     first (better for few), and keeps what takes fewer sequences."""
     short = cut_pieces.where(F.col("length") < capacity)
     groups = max(1, -(-short.count() // group))
@@ -98,8 +98,8 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) ->
             own["sequence_id"], own["offset"] = (TaskContext.get().partitionId() << 32) + sequence, offset
             yield own
 
-    packed = short.repartition(groups, "doc_id", "piece").mapInPandas(run, PIECES + ", sequence_id long, offset long")
-    full = cut_pieces.where(F.col("length") == capacity)
+    packed = short.repartition(groups, "doc_id", "piece", *(["row"] if "row" in short.columns else [])).drop("row").mapInPandas(run, PIECES + ", sequence_id long, offset long")
+    full = cut_pieces.where(F.col("length") == capacity).drop("row")
     return packed.unionByName(full.select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
 
 
@@ -109,4 +109,6 @@ def packed(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = 2, capac
     Null or empty text: one piece with the end id. Repeated rows are packed each; a null doc_id stays null; other columns
     are left behind. Empty table: no rows.
     """
-    return pack(stored(pieces(docs, vocabulary, end_id, capacity)), capacity, group)
+    # Once stored, row numbers are fixed; they deal out the pieces of repeated or null ids.
+    numbered = pieces(docs, vocabulary, end_id, capacity).withColumn("row", F.monotonically_increasing_id())
+    return pack(stored(numbered), capacity, group)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,46 +19,73 @@ def by_content(log: DataFrame) -> DataFrame:
 FOLDED = "conv_id long, message long, role string, source_id string, seq long, versions int, status string, captures int, identical int, reconciled int"
 
 
-def _fold(rows: pd.DataFrame) -> pd.DataFrame:
-    """Captures of one conversation in order of arrival: by source id, then fingerprint, then role and content of any version."""
-    by_source: dict[str, dict] = {}
-    by_print: dict[str, dict] = {}
-    by_content: dict[tuple[str, str], list[dict]] = {}
-    messages: list[dict] = []
-    for r in rows.sort_values("arrival").itertuples(index=False):
-        source = r.source_id or None
-        known = by_source.get(source) if source else None
-        known = known or by_print.get(r.fingerprint)
-        if known is None and (same := by_content.get((r.role, r.digest))):
+class _Conversation:
+    """Captures of one conversation in order of arrival: by source id, then fingerprint, then role and content of any version.
+    It holds its messages and the digests of their contents, not its captures."""
+
+    def __init__(self, conv_id: int | None):
+        self.conv_id = conv_id
+        self.by_source: dict[str, dict] = {}
+        self.by_print: dict[str, dict] = {}
+        self.by_content: dict[tuple[str, str], list[dict]] = {}
+        self.messages: list[dict] = []
+
+    def add(self, role, source_id, seq, status, arrival, digest, fingerprint) -> None:
+        source = source_id or None
+        known = self.by_source.get(source) if source else None
+        known = known or self.by_print.get(fingerprint)
+        if known is None and (same := self.by_content.get((role, digest))):
             known = min(same, key=lambda m: m["seq"])
-        new = known is None
-        if new:
-            known = {"message": int(r.arrival), "role": r.role, "source_id": source, "contents": {}, "status": r.status, "identical": 0, "reconciled": 0, "captures": 0}
-            messages.append(known)
-            by_print.setdefault(r.fingerprint, known)
+        if known is None:
+            known = {"message": arrival, "role": role, "source_id": source, "contents": {}, "status": status, "identical": 0, "reconciled": 0, "captures": 0}
+            self.messages.append(known)
+            self.by_print.setdefault(fingerprint, known)
         if not known["source_id"] and source:
             known["source_id"] = source
         if known["source_id"]:
-            by_source.setdefault(known["source_id"], known)
-        known["seq"] = int(r.seq)
+            self.by_source.setdefault(known["source_id"], known)
+        known["seq"] = seq
         known["captures"] += 1
-        had = known["contents"].get(r.digest)
+        had = known["contents"].get(digest)
         if had is None:
-            known["contents"][r.digest] = r.status
-            by_content.setdefault((r.role, r.digest), []).append(known)
-        elif had == "partial" and r.status == "complete":
-            known["contents"][r.digest] = "reconciled"
+            known["contents"][digest] = status
+            self.by_content.setdefault((role, digest), []).append(known)
+        elif had == "partial" and status == "complete":
+            known["contents"][digest] = "reconciled"
             known["reconciled"] += 1
         else:
             known["identical"] += 1
-        known["status"] = "complete" if "complete" in (known["status"], r.status) else r.status
-    out = [{**m, "conv_id": rows["conv_id"].iloc[0], "versions": len(m["contents"])} for m in messages]
-    return pd.DataFrame(out, columns=[x.split()[0] for x in FOLDED.split(", ")])
+        known["status"] = "complete" if "complete" in (known["status"], status) else status
+
+    def rows(self) -> list[dict]:
+        return [{**m, "conv_id": self.conv_id, "versions": len(m["contents"])} for m in self.messages]
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by conversation and arrival, a batch at a time; one conversation's messages are all that is held."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    fields = [(n, kinds[k]) for n, k in (x.split() for x in FOLDED.split(", "))]
+
+    def out(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(rows), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows[i : i + 10_000]], k) for n, k in fields], [n for n, _ in fields])
+
+    now, done = None, []
+    for b in batches:
+        for conv_id, *capture in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if now is None or conv_id != now.conv_id:
+                done += now.rows() if now else []
+                now = _Conversation(conv_id)
+            now.add(*capture)
+        yield from out(done)
+        done = []
+    yield from out(now.rows() if now else [])
 
 
 def three_layer(admitted: DataFrame, fingerprinted: DataFrame) -> DataFrame:
-    """One row a message. Order decides identity, so each conversation (bounded by its capture limit) is folded by itself."""
-    return fingerprinted.select("conv_id", "role", "source_id", "seq", "status", "arrival", "digest", "fingerprint").groupBy("conv_id").applyInPandas(_fold, FOLDED)
+    """One row a message. Order decides identity, so each conversation is folded by itself, as Spark's sort gives its captures."""
+    columns = [F.col(c).cast("long").alias(c) if c in ("conv_id", "seq", "arrival") else c for c in ("conv_id", "role", "source_id", "seq", "status", "arrival", "digest", "fingerprint")]
+    return fingerprinted.select(*columns).repartition("conv_id").sortWithinPartitions("conv_id", "arrival").mapInArrow(_folded, FOLDED)
 
 
 def contents(admitted: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -99,23 +102,47 @@ def rate_limit_upper_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "user_id", epoch("ts").alias("at")).withColumn("hits_upper_bound", F.count("*").over(w)).drop("at")
 
 
+class _Limiter:
+    """Admits while fewer than `most` admitted hits lie in the window before, both ends included; denied hits don't count."""
+
+    def __init__(self, window: int = 86400, most: int = 2):
+        self.window, self.admitted = window, deque(maxlen=most)  # the last admitted times are all that matters
+
+    def allows(self, at: int | None) -> bool:
+        if at is None:
+            self.admitted.clear()
+            return True
+        ok = len(self.admitted) < self.admitted.maxlen or self.admitted[0] < at - self.window
+        if ok:
+            self.admitted.append(at)
+        return ok
+
+
 def _limit(rows: pd.DataFrame, window: int = 86400, most: int = 2) -> pd.DataFrame:
-    """Admit while fewer than `most` admitted hits lie in the window before, both ends included; denied hits don't count."""
+    """The hits of one user in order, with whether each is admitted."""
     rows = rows.sort_values(["at", "event_id"])
-    admitted, allowed = [], []
-    for at in rows["at"]:
-        admitted = [t for t in admitted if t >= at - window]
-        allowed.append(len(admitted) < most)
-        if allowed[-1]:
-            admitted.append(at)
-    return pd.DataFrame({"event_id": rows["event_id"], "user_id": rows["user_id"], "allowed": allowed})
+    limiter = _Limiter(window, most)
+    return pd.DataFrame({"event_id": rows["event_id"], "user_id": rows["user_id"], "allowed": [limiter.allows(at) for at in rows["at"]]})
+
+
+def _decisions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (user_id, at, event_id) in that order, a batch at a time; one user's limiter is all that is held."""
+    user, limiter = None, _Limiter()
+    for b in batches:
+        allowed = []
+        for who, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if who != user:
+                user, limiter = who, _Limiter()
+            allowed.append(limiter.allows(at))
+        yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), pa.array(allowed, pa.bool_())], ["event_id", "user_id", "allowed"])
 
 
 @query()
 def rate_limit_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Depends on its own earlier decisions, so each user's hits are folded in order."""
-    a = table(spark, sf_dir, "events").select("event_id", "user_id", epoch("ts").alias("at"))
-    return a.groupBy("user_id").applyInPandas(lambda rows: _limit(rows), "event_id long, user_id long, allowed boolean")
+    """Depends on its own earlier decisions, so each user's hits are folded in order as Spark's sort gives them."""
+    a = table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("user_id"), epoch("ts").alias("at"), F.col("event_id").cast("long").alias("event_id"))
+    ordered = a.repartition("user_id").sortWithinPartitions("user_id", F.col("at").asc_nulls_last(), "event_id")
+    return ordered.mapInArrow(_decisions, "event_id long, user_id long, allowed boolean")
 
 
 @query("select c_custkey, c_name, o_orderkey, o_orderdate from customer join orders on o_custkey = c_custkey")
