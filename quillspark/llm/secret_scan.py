@@ -26,11 +26,12 @@ CLASSES = {
 KINDS = [*BASE, *CLASSES]
 #: Sample values. A window that holds one is not counted.
 SAMPLE = r"(?i:example|sample|placeholder|changeme|dummy|x{6}|abcdef|012345|123456)"
-#: What may stand between - _ / +: letters of one case, camel-case words of 2 to 15 letters, and up to 4 digits.
-PART = r"(?:[A-Za-z]?[a-z]+|[A-Z]+|[A-Z]?[a-z]{2,15}(?:[A-Z][a-z]{2,15}){1,5}|[0-9]{1,4})"
+#: What may stand between - _ / +: letters of one case, camel-case words of 2 to 15 letters, and up to 4 digits. It ends where the letters and digits do.
+PART = r"(?:[A-Za-z]?[a-z]+|[A-Z]+|[A-Z]?[a-z]{2,15}(?:[A-Z][a-z]{2,15}){1,5}|[0-9]{1,4})(?![A-Za-z0-9])"
 #: Candidates that are no secrets: numbers, such parts, and sample values with no room for a window before, between or after them.
+#: Groups repeat possessively: Java matches that in a loop, and other repeated groups by recursion, which ends its stack on long candidates.
 LEAST = min(window for _, window, _ in CLASSES.values())
-ALLOWED = rf"^[0-9]+$|^[-_/+]*{PART}(?:[-_/+]+{PART})*[-_/+]*$|^(?:.{{0,{LEAST - 1}}}?{SAMPLE})+.{{0,{LEAST - 1}}}$"
+ALLOWED = rf"^[0-9]+$|^[-_/+]*+{PART}(?:[-_/+]++{PART})*+[-_/+]*+$|^(?:.{{0,{LEAST - 1}}}?{SAMPLE})++.{{0,{LEAST - 1}}}$"
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 BLOCK = 256

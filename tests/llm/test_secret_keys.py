@@ -34,3 +34,11 @@ def test_names_and_samples_have_none(spark):
 def test_planted_keys_are_masked(spark):
     df = spark.createDataFrame([(i, f"a {k} b") for i, k in enumerate(KEYS)], "doc_id long, text string")
     assert {r.text for r in secret_scan.redacted(df).collect()} == {"a [SECRET] b"}
+
+
+def test_candidates_of_a_million_characters(spark):
+    joined = ["ab-cd/ef_" * 110_000, "1234-5678/" * 100_000, "CamelCaseWord/" * 72_000, "example" * 150_000, "-" * 1_000_000, "12" * 500_000]
+    key = "ab-cd/ef_" * 110_000 + LETTERS
+    assert entropy_spans(spark, [f"see {x} end" for x in [*joined, key]]) == [[]] * len(joined) + [[f"entropy64:4:{4 + len(key)}"]]
+    df = spark.createDataFrame([(i, f"see {x} end") for i, x in enumerate([*joined[:-1], key])], "doc_id long, text string")
+    assert [r.text for r in sorted(secret_scan.redacted(df).collect())] == [*(f"see {x} end" for x in joined[:-1]), "see [SECRET] end"]
