@@ -50,11 +50,6 @@ class Names:
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end - GRAM + 1] - self.sums[start]) * self.down[start]
 
-    def pair(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Names of the two halves."""
-        half = (start + end) // 2
-        return self.of(start, half), self.of(half, end)
-
 
 def _least(x: np.ndarray, w: int) -> np.ndarray:
     """The least of each w neighbours."""

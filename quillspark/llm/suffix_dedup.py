@@ -1,11 +1,11 @@
-"""Operator 3: exact substring deduplication by prefix doubling over sampled suffixes.
-
-Suffixes are ranked by ever longer prefixes. A suffix whose prefix is unique is out; the others go on with a longer prefix,
-whose rank is the pair of the ranks of two shorter strings, at an offset; the end is the threshold. Ranks are names: equal
-strings have equal ones, and Spark groups the pairs. What keeps this small is which suffixes take part: content alone marks
-a place in each window of `size` bytes, and windows that share a mark share the suffix ranked for them, so that a first
-round with prefixes of over half the threshold needs one suffix for about 80 bytes. Only runs of windows whose common
-string repeats are cut finer, with prefixes that come nearer to the threshold, down to single windows.
+"""Operator 3: exact substring deduplication by distributed prefix doubling over sampled suffixes.
+
+Spark ranks suffixes by ever longer prefixes: it sorts pairs (rank at a position, rank at an offset behind it), a pair's
+place in that order is the rank of the prefix twice as long, and suffixes whose pair is unique are out. From quarters of the
+prefix wanted, offsets of one and of two quarters lead to it. What keeps this small is which suffixes take part: content alone
+marks a place in each window of `size` bytes, and windows that share a mark share the suffix ranked for them, so that a first
+threshold of over half of `size` needs one suffix for about 80 bytes. Only runs of windows whose common string repeats but
+whose surroundings differ are cut finer, with thresholds nearer to `size`, down to single windows.
 """
 
 from __future__ import annotations
@@ -25,22 +25,23 @@ from .sampled_positions import SEGMENT, Names, marks, nodes
 
 #: Bytes of a string that counts as a repeat.
 SIZE = 400
-#: Windows that one suffix stands for, by round; its prefix has size - width + 1 bytes.
-WIDTHS = (128, 16, 1)
-#: Most rows of two numbers (or a text's runs) that are sent to all tasks; above, the join shuffles.
-BROADCAST_ROWS = 500_000
-
-#: Places in the bit table that hints which names repeat; more names only make the hint weaker.
-BITS = 27
+#: Windows that one suffix stands for, by threshold; its prefix has size - width + 1 bytes.
+WIDTHS = (129, 17, 1)
+#: Most bytes of lists of runs that are sent to all tasks; above, the join shuffles.
+BROADCAST_BYTES = 8 << 20
+#: Most places in the bit table that hints which names repeat, 8 or more for a name: 64 MB. Where that is too few, a join tells.
+PLACES = 1 << 29
 
 #: Words of a passage that counts as a repeat in the pipeline, and bytes of a word's hash there.
 PASSAGE, WORD = 51, 6
-PASSAGE_WIDTHS = (96, 16, 1)
+PASSAGE_WIDTHS = (99, 15, 1)
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
 Encode = Callable[[str], bytes]
 
-NODE = "d long, t long, p int, u int, v int, c1 long, c2 long, f long"
+QUARTERS = ["n0", "n1", "n2", "n3"]
+NODE = "d long, t long, p int, u int, v int, " + "".join(f"{n} long, " for n in QUARTERS) + "f long"
+COLUMNS = [x.split()[0] for x in NODE.split(", ")]
 
 
 def _key(docs: DataFrame) -> list[Column]:
@@ -61,17 +62,22 @@ def word_hashes(text: str) -> bytes:
     return b"".join([digest(w)[:WORD] for w in text.encode().split()])  # bytes split at exactly \x20 and \x09-\x0D
 
 
-def _bits(names: DataFrame, column: str) -> np.ndarray:
-    """A bit for each name, at its low BITS bits. Its size doesn't grow with the table."""
-    at = F.col(column).bitwiseAND(F.lit((1 << BITS) - 1))
+def _places(names: int) -> int:
+    """Places of a bit table for so many names, a power of two."""
+    return max(1 << 20, 1 << (8 * names - 1).bit_length())
+
+
+def _bits(names: DataFrame, column: str, places: int) -> np.ndarray:
+    """A bit for each name, at its low bits."""
+    at = F.col(column).bitwiseAND(F.lit(places - 1))
     words = names.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    table = np.zeros(1 << (BITS - 6), np.int64)
+    table = np.zeros(places >> 6, np.int64)
     table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     return table.view(np.uint64)
 
 
 def _set(table: np.ndarray, names: np.ndarray) -> np.ndarray:
-    low = names.view(np.uint64) & np.uint64((1 << BITS) - 1)
+    low = names.view(np.uint64) & np.uint64(64 * len(table) - 1)
     return (table[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) == 1
 
 
@@ -85,51 +91,70 @@ def _hinted(texts: DataFrame, hint, wanted: bool) -> DataFrame:
     return texts.mapInArrow(run, texts.schema)
 
 
-def _with(texts: DataFrame, lists: DataFrame, rows: int, left: bool = False) -> DataFrame:
-    """texts joined with a table of lists by key: sent to all tasks if small; else only texts that may have a list are shuffled."""
-    if rows <= BROADCAST_ROWS:
-        return texts.join(F.broadcast(lists), ["d", "t"], "left" if left else "inner")
-    hint = texts.sparkSession.sparkContext.broadcast(_bits(lists, "t"))
-    found = _hinted(texts, hint, True).join(lists, ["d", "t"], "left" if left else "inner")
+def _with(texts: DataFrame, lists: DataFrame, left: bool = False) -> DataFrame:
+    """texts joined with a table of runs by key: sent to all tasks if small; else only texts that may have a list are shuffled."""
+    how = "left" if left else "inner"
+    rows, runs = lists.agg(F.count("*"), F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()
+    if 64 * rows + 16 * runs <= BROADCAST_BYTES:
+        return texts.join(F.broadcast(lists), ["d", "t"], how)
+    if _places(rows) > PLACES:
+        return texts.join(lists, ["d", "t"], how)
+    hint = texts.sparkSession.sparkContext.broadcast(_bits(lists, "t", _places(rows)))
+    found = _hinted(texts, hint, True).join(lists, ["d", "t"], how)
     if not left:
         return found
     return found.unionByName(_hinted(texts, hint, False), allowMissingColumns=True)
 
 
-def _names(data: bytes, wanted: list[tuple[int, int]], base: int, width: int, size: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """u, v, c1, c2, f of the runs of at most `width` windows that these runs of windows are made of; data starts at base."""
+def _runs(data: bytes, wanted: list[tuple[int, int]], base: int, width: int, size: int) -> Iterator[tuple]:
+    """Names, u, v and anchor (both from where the names start), and that start, of the runs of at most `width` windows that
+    these runs of windows are made of; data starts at base."""
     parts = [(a, min(a + SEGMENT - 1, last)) for first, last in wanted for a in range(first, last + 1, SEGMENT)]
     for block, inside in _segments(parts):
         piece = data[block - base : inside[-1][1] + size - base]
         names = Names(piece)
         mark = marks(names, len(piece) - size + 1, size)
         for first, last in inside:
-            u, v, at = nodes(mark, first - block, last - block, width)
-            c1, c2 = names.pair(at, at - width + 1 + size)
-            f = names.of(u, v + size) ^ (v - u).astype(np.uint64)
-            yield (u + block).astype(np.int32), (v + block).astype(np.int32), c1.view(np.int64), c2.view(np.int64), f.view(np.int64)
+            yield names, *nodes(mark, first - block, last - block, width), block
+
+
+def _named(data: bytes, wanted: list[tuple[int, int]], base: int, width: int, size: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """u, v, the names of the four quarters of the prefix, which may overlap, and f, the name of all that the run covers."""
+    length = size - width + 1
+    quarter = -(-length // 4)
+    for names, u, v, at, block in _runs(data, wanted, base, width, size):
+        quarters = [names.of(at + x, at + x + quarter).view(np.int64) for x in (0, quarter, length - 2 * quarter, length - quarter)]
+        f = names.of(u, v + size) ^ (v - u).astype(np.uint64)
+        yield (u + block).astype(np.int32), (v + block).astype(np.int32), *quarters, f.view(np.int64)
 
 
 def _batch(rows: list[tuple], columns: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], columns)
 
 
+def _whole_names(data: bytes, width: int, size: int) -> Iterator[np.ndarray]:
+    """The name of the whole prefix of every run of a text."""
+    for names, _, _, at, _ in _runs(data, [(0, len(data) - size)], 0, width, size):
+        yield names.of(at, at + size - width + 1).view(np.int64)
+
+
 def _first_names(texts: DataFrame, width: int, size: int, encode: Encode) -> DataFrame:
-    """c1 of every run of every text."""
+    """w, the name of the whole prefix, of every run of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 256):
-                data = [encode(t) for t in b.column(0).slice(i, 256).to_pylist()]
-                found = [(x[2],) for d in data for x in _names(d, [(0, len(d) - size)], 0, width, size)]
+                found = [(w,) for t in b.column(0).slice(i, 256).to_pylist() for w in _whole_names(encode(t), width, size)]
                 if found:
-                    yield _batch(found, ["c1"])
+                    yield _batch(found, ["w"])
 
-    return texts.select("text").mapInArrow(run, "c1 long")
+    return texts.select("text").mapInArrow(run, "w long")
 
 
-def _first_round(texts: DataFrame, width: int, size: int, hint, encode: Encode) -> DataFrame:
-    """The runs whose c1 may repeat."""
+def _first_nodes(texts: DataFrame, width: int, size: int, often: DataFrame, encode: Encode) -> DataFrame:
+    """The runs of all texts whose prefix's name is in `often`, or may be."""
+    places = _places(often.count())
+    hint = texts.sparkSession.sparkContext.broadcast(_bits(often, "w", places)) if places <= PLACES else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,13 +162,15 @@ def _first_round(texts: DataFrame, width: int, size: int, hint, encode: Encode)
                 part, out = b.slice(i, 256), []
                 for d, t, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     data = encode(text)
-                    for u, v, c1, c2, f in _names(data, [(0, len(data) - size)], 0, width, size):
-                        k = np.flatnonzero(_set(hint.value, c1))
-                        out.append((np.full(len(k), d), np.full(len(k), t), u[k], u[k], v[k], c1[k], c2[k], f[k]))
+                    whole = zip(_whole_names(data, width, size), _named(data, [(0, len(data) - size)], 0, width, size), strict=True)
+                    for w, (u, v, *names) in whole:
+                        k = np.arange(len(w)) if hint is None else np.flatnonzero(_set(hint.value, w))
+                        out.append((np.full(len(k), d), np.full(len(k), t), u[k], u[k], v[k], *(n[k] for n in names), w[k]))
                 if out:
-                    yield _batch(out, [x.split()[0] for x in NODE.split(", ")])
+                    yield _batch(out, [*COLUMNS, "w"])
 
-    return texts.select("d", "t", "text").mapInArrow(run, NODE)
+    nodes_of = texts.select("d", "t", "text").mapInArrow(run, f"{NODE}, w long")
+    return (nodes_of if hint else nodes_of.join(often, "w", "left_semi")).drop("w")
 
 
 def _pieces(texts: DataFrame, size: int, encode: Encode) -> DataFrame:
@@ -163,18 +190,18 @@ def _pieces(texts: DataFrame, size: int, encode: Encode) -> DataFrame:
     return texts.select("d", "t", "text", "runs").mapInArrow(run, "d long, t long, p int, data binary, runs array<struct<u:int,v:int>>")
 
 
-def _next_round(pieces: DataFrame, width: int, size: int) -> DataFrame:
-    """The given runs of pieces, cut finer, with names of longer prefixes."""
+def _next_nodes(pieces: DataFrame, width: int, size: int) -> DataFrame:
+    """The given runs of pieces, cut finer, with names for a longer prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 out = []
                 for d, t, p, data, runs in zip(*(c.to_pylist() for c in b.slice(i, 512).columns), strict=True):
-                    for u, v, c1, c2, f in _names(data, [(r["u"], r["v"]) for r in runs], p, width, size):
-                        out.append((np.full(len(u), d), np.full(len(u), t), np.full(len(u), p, np.int32), u, v, c1, c2, f))
+                    for u, v, *names in _named(data, [(r["u"], r["v"]) for r in runs], p, width, size):
+                        out.append((np.full(len(u), d), np.full(len(u), t), np.full(len(u), p, np.int32), u, v, *names))
                 if out:
-                    yield _batch(out, [x.split()[0] for x in NODE.split(", ")])
+                    yield _batch(out, COLUMNS)
 
     return pieces.select("d", "t", "p", "data", "runs").mapInArrow(run, NODE)
 
@@ -191,12 +218,33 @@ def _segments(wanted: list[tuple[int, int]]) -> Iterator[tuple[int, list[tuple[i
         yield held[0][0], held
 
 
-def _labelled(ranked: DataFrame) -> DataFrame:
-    """Runs whose common string repeats, with `copies` (runs that cover the same), `kinds` (different ones among those with the common string) and whether this run stands for its copies."""
-    alike = ranked.groupBy("c1", "c2", "f").agg(F.count("*").alias("copies"), F.min(F.struct("d", "t", "u")).alias("chosen"))
-    common = alike.groupBy("c1", "c2").agg(F.count("*").alias("kinds"), F.sum("copies").alias("total")).where("total > 1")
-    known = alike.join(common, ["c1", "c2"])
-    return ranked.join(known, ["c1", "c2", "f"]).select("d", "t", "p", "u", "v", "copies", "kinds", (F.col("chosen") == F.struct("d", "t", "u")).alias("stands"))
+def _ranks(pairs: DataFrame) -> DataFrame:
+    """(a, b, rank) of the pairs that occur more than once: Spark sorts them, and a rank is a place in that order."""
+    often = stored(pairs.groupBy("a", "b").count().where("count > 1").select("a", "b"))
+    return stored(often.orderBy("a", "b").select("a", "b", F.monotonically_increasing_id().alias("rank")))
+
+
+def _doubled(nodes: DataFrame) -> DataFrame:
+    """d, t, p, u, v, f, r0, r1 of the nodes whose halves both repeat: the ranks of the halves from the pairs of quarters."""
+    first, second = (F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in (QUARTERS[:2], QUARTERS[2:]))
+    ranks = _ranks(nodes.select(F.explode(F.array(first, second)).alias("x")).select("x.*"))
+    for k, (a, b) in enumerate((QUARTERS[:2], QUARTERS[2:])):
+        nodes = nodes.join(ranks.select(F.col("a").alias(a), F.col("b").alias(b), F.col("rank").alias(f"r{k}")), [a, b]).drop(a, b)
+    return nodes
+
+
+def _labelled(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (stored) whose covered string occurs again, and nodes whose prefix repeats with other surroundings: one of each
+    kind of those that cover the same. Tables that meet in a join are stored, so that Spark can split a frequent pair's rows."""
+    ranked = stored(_doubled(nodes))
+    common = stored(ranked.groupBy("r0", "r1").agg(F.count("*").alias("total"), (F.min("f") != F.max("f")).alias("mixed")).where("total > 1").drop("total"))
+    known = stored(ranked.join(common, ["r0", "r1"]))
+    mixed = known.where("mixed")
+    alike = stored(mixed.groupBy("r0", "r1", "f").agg(F.count("*").alias("copies"), F.min(F.struct("d", "t", "u")).alias("chosen")))
+    kinds = stored(mixed.join(alike, ["r0", "r1", "f"]))
+    columns = ["d", "t", "p", "u", "v"]
+    found = known.where("not mixed").select(columns).unionByName(kinds.where("copies > 1").select(columns))
+    return found, kinds.where(F.col("chosen") == F.struct("d", "t", "u")).select(columns).distinct()
 
 
 def repeated_runs(docs: DataFrame, size: int = SIZE, widths: tuple[int, ...] = WIDTHS, encode: Encode = str.encode, least: int | None = None) -> DataFrame:
@@ -205,23 +253,21 @@ def repeated_runs(docs: DataFrame, size: int = SIZE, widths: tuple[int, ...] = W
 
     Bytes are those that `encode` makes of a text; only texts of `least` bytes (else `size`) can have so many."""
     texts = keyed(docs).where(F.octet_length("text") >= (size if least is None else least))
-    # Most suffixes are unique already by half their rank: only names that may repeat go on, with all that belongs to them.
-    often = _first_names(texts, widths[0], size, encode).groupBy("c1").count().where("count > 1")
-    hint = docs.sparkSession.sparkContext.broadcast(_bits(often, "c1"))
-    found, ranked = [], _first_round(texts, widths[0], size, hint, encode)
+    # Most prefixes are unique: only names that may repeat go on, with all that belongs to them.
+    often = stored(_first_names(texts, widths[0], size, encode).groupBy("w").count().where("count > 1").select("w"))
+    found, nodes_of = [], _first_nodes(texts, widths[0], size, often, encode)
     for step in range(len(widths)):
-        labelled = stored(_labelled(stored(ranked)))
-        found.append(labelled.where("copies > 1").select("d", "t", "u", (F.col("v") + size).alias("end")))
-        going = labelled.where("kinds > 1 and (copies = 1 or stands)").select("d", "t", "p", "u", "v").distinct()
+        repeated, going = _labelled(stored(nodes_of))
+        found.append(repeated.select("d", "t", "u", (F.col("v") + size).alias("end")))
         if step + 1 == len(widths) or going.isEmpty():
             break
         if step == 0:
             lists = stored(going.groupBy("d", "t").agg(F.collect_list(F.struct("u", "v")).alias("runs")))
-            pieces = stored(_pieces(_with(texts, lists, going.count()), size, encode))
+            pieces = stored(_pieces(_with(texts, lists), size, encode))
         else:
             lists = going.groupBy("d", "t", "p").agg(F.collect_list(F.struct("u", "v")).alias("runs"))
             pieces = pieces.drop("runs").join(lists, ["d", "t", "p"])
-        ranked = _next_round(pieces, widths[step + 1], size)
+        nodes_of = _next_nodes(pieces, widths[step + 1], size)
     spans = found[0]
     for more in found[1:]:
         spans = spans.unionByName(more)
@@ -234,10 +280,9 @@ def repeated_runs(docs: DataFrame, size: int = SIZE, widths: tuple[int, ...] = W
 
 
 def _with_runs(docs: DataFrame, runs: DataFrame, *more: str) -> DataFrame:
-    rows = runs.count()
     text = F.coalesce(docs["text"], F.lit(""))
     whole = docs.select(*more, "doc_id", *_key(docs), text.alias("text"))
-    return _with(whole, runs, rows, left=True)
+    return _with(whole, runs, left=True)
 
 
 def _cut(data: bytes, runs: list[dict] | None) -> bytes:
@@ -253,7 +298,8 @@ def suffix_dedup(docs: DataFrame, size: int = SIZE, widths: tuple[int, ...] = WI
     `size` bytes which also starts anywhere else in the table.
 
     Null or empty text: 0, 0, 0 and the digest of nothing. Repeated rows are copies of each other, and go if long enough; a
-    null doc_id stays null; other columns are left behind. Empty table: no rows. Equality is that of 128 bits of names.
+    null doc_id stays null; other columns are left behind. Empty table: no rows. Equality is that of 256 bits of names.
+    Very long texts are taken in parts of about a million windows; a frequent passage's rows are split over tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +338,8 @@ def without_passages(docs: DataFrame, words: int = PASSAGE, widths: tuple[int, .
 def _cleaned(docs: DataFrame, find: Callable[[DataFrame], DataFrame], cut: Callable[[bytes, list[dict]], bytes]) -> DataFrame:
     # The other columns travel as one struct, so that none clashes with the runs' and the text is there once.
     others = [docs[c] for c in docs.columns if c != "text"]
-    whole = docs.select("doc_id", "text", F.struct(*others, docs["text"].isNull().alias("_none")).alias("_row"))
+    row = F.struct(F.struct(*others).alias("others"), docs["text"].isNull().alias("none"))
+    whole = docs.select("doc_id", "text", row.alias("_row"))
 
     @F.pandas_udf(StringType())
     def clean(text, runs):
@@ -300,6 +347,6 @@ def _cleaned(docs: DataFrame, find: Callable[[DataFrame], DataFrame], cut: Calla
 
     out = _with_runs(whole, find(whole), "_row")
     out = out.withColumn("clean", F.when(F.col("runs").isNull(), F.col("text")).otherwise(clean("text", "runs")))
-    out = out.withColumn("clean", F.when(~F.col("_row._none"), F.col("clean")))
+    out = out.withColumn("clean", F.when(~F.col("_row.none"), F.col("clean")))
     changed = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
-    return out.select(*[changed[c].alias(c) if c in changed else F.col("_row")[c].alias(c) for c in docs.columns])
+    return out.select(*[changed[c].alias(c) if c in changed else F.col("_row.others")[c].alias(c) for c in docs.columns])

@@ -129,9 +129,10 @@ def planted():
     return [*texts, base, base]
 
 
-@pytest.mark.parametrize("size, widths, most", [(400, (128, 16, 1), 500_000), (400, (128, 16, 1), 3), (60, (16, 4, 1), 500_000)])
-def test_suffix_dedup_equals_brute_force(spark, monkeypatch, size, widths, most):
-    monkeypatch.setattr(suffix_dedup, "BROADCAST_ROWS", most)
+@pytest.mark.parametrize("size, widths, most, places", [(400, suffix_dedup.WIDTHS, 1 << 23, 1 << 29), (400, suffix_dedup.WIDTHS, 0, 1 << 29), (400, (130, 12, 1), 0, 1), (60, (16, 4, 1), 1 << 23, 1)])
+def test_suffix_dedup_equals_brute_force(spark, monkeypatch, size, widths, most, places):
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_BYTES", most)
+    monkeypatch.setattr(suffix_dedup, "PLACES", places)
     texts = planted()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     got = sorted(map(tuple, suffix_dedup.suffix_dedup(df, size, widths).collect()))
