@@ -1,16 +1,21 @@
 """Operator 1: a log-bilinear neural language model, trained by noise-contrastive estimation and scored by matrix products.
 
-The model predicts the class of a token from the classes of the two before it: the most frequent words are a class each,
-all other words one together, in which a word keeps its share of the corpus counts. Scores add a row for each earlier
-class, so all normalisers come from one product of two exponentiated score matrices, and every probability is exact.
+The model predicts the class of a token from the classes of the two before it. A frequent word is a class of its own; every
+other word is in the class of its ending, known or not, in which it keeps its share of the corpus counts. So a rare word
+tells as context, and gets as target, what words of its form have in common. Scores add a row for each earlier class, so all
+normalisers come from one product of two exponentiated score matrices, and every probability is exact.
+
+Training doesn't depend on partitions: texts are dealt to rounds and shards, and ordered, by their own hash.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -20,15 +25,18 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Classes: 0 is the end of a text (and what stands before its start), the last one all rare words.
-CLASSES = 1024
+#: Classes at most: 0 is the end of a text (and what stands before its start), then frequent words, then ENDINGS of the others.
+#: Words that are a class of their own grow as twice the root of the training tokens up to this.
+CLASSES, ENDINGS = 2048, 256
 WIDTH = 32
 #: The most frequent words, of at most LONGEST bytes, that every task knows; others are looked up by a join.
 HEAD, LONGEST = 100_000, 64
 #: Noise tokens for each batch of true ones.
 NOISE, BATCH, RATE = 128, 2048, 0.15
-#: About so many documents give the start from which all tasks then train on all of theirs.
-WARM_DOCUMENTS = 2000
+#: Of 16 parts of the training texts, those that the rounds end with; all shards of a round start from the last one's average.
+ROUNDS = (1, 4, 9, 16)
+#: Training tokens of a shard, about.
+SHARD = 2_000_000
 FLUSH = 400_000
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -66,29 +74,39 @@ def word_counts(training: DataFrame) -> DataFrame:
 
 @dataclass
 class Corpus:
-    """Counts of the training texts: total tokens, distinct tokens, texts, and the most frequent words with their counts."""
+    """Counts of the training texts: total tokens, distinct tokens, texts, the most frequent words with their counts, and the
+    base mass (count plus a half) of all words by ending."""
 
     tokens: int
     distinct: int
     texts: int
     head: list[bytes]
     counts: np.ndarray
+    by_ending: np.ndarray
 
     @property
     def base_mass(self) -> float:
         return self.tokens + 0.5 * (self.distinct + 1)
 
-    def class_mass(self, classes: int) -> np.ndarray:
-        """Base mass (count plus a half) of each class; the last holds all words without one of their own, unknown ones too."""
-        short = self.counts[: classes - 2] + 0.5
-        out = np.full(classes, 1e-9)
-        out[0] = self.texts + 0.5
-        out[1 : 1 + len(short)] = short
-        out[-1] = self.base_mass - out[0] - short.sum()
-        return out
+    @property
+    def own(self) -> int:
+        """Words that are a class of their own."""
+        return min(len(self.head), max(0, CLASSES - 1 - len(self.by_ending)), 2 * math.isqrt(self.tokens))
+
+    def class_mass(self) -> np.ndarray:
+        """Base mass of each class; one unknown word is in each class of an ending."""
+        short = self.counts[: self.own] + 0.5
+        rest = self.by_ending + 0.5
+        np.subtract.at(rest, [ending(w, len(rest)) for w in self.head[: self.own]], short)
+        return np.r_[self.texts + 0.5, short, np.maximum(rest, 0.5)]
 
 
-def corpus(training: DataFrame, counted: DataFrame, head: int = HEAD) -> Corpus:
+def ending(word: bytes, endings: int) -> int:
+    """The class of a word by its last two bytes."""
+    return zlib.crc32(word[-2:]) % endings
+
+
+def corpus(training: DataFrame, counted: DataFrame, head: int = HEAD, endings: int = ENDINGS) -> Corpus:
     n, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     docs = training.count()
     # The head ends at an eighth of an octave of counts, so that what is collected is bounded and needs no global sort.
@@ -99,33 +117,44 @@ def corpus(training: DataFrame, counted: DataFrame, head: int = HEAD) -> Corpus:
             break
         least, taken = level, taken + words
     top = sorted(((-r.n, bytes(r.word)) for r in fits.where(F.col("level") >= least).select("n", "word").collect()))  # at most head rows
-    return Corpus(n + docs, distinct + (docs > 0), docs, [w for _, w in top], np.array([-n for n, _ in top], np.int64))
+    last = F.expr("crc32(case when length(word) < 2 then word else substring(word, length(word) - 1, 2) end)")
+    by_ending = np.zeros(endings)
+    for r in counted.groupBy((last % endings).alias("k")).agg(F.sum(F.col("n") + 0.5)).collect():  # at most endings rows
+        by_ending[r[0]] = r[1]
+    return Corpus(n + docs, distinct + (docs > 0), docs, [w for _, w in top], np.array([-n for n, _ in top], np.int64), by_ending)
 
 
 class Classes:
     """Words to positions in the head (-1: not there) and to classes."""
 
-    def __init__(self, head: list[bytes], classes: int):
+    def __init__(self, head: list[bytes], own: int, endings: int):
         self.place = {w: i for i, w in enumerate(head)}
-        self.classes = classes
+        self.own, self.endings, self.ends = own, endings, {}
+        self.of_head = np.array([*range(1, own + 1), *(own + 1 + ending(w, endings) for w in head[own:]), 0], np.int64)
 
     def places(self, words: list[bytes]) -> np.ndarray:
         get = self.place.get
         return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
 
-    def of(self, places: np.ndarray) -> np.ndarray:
-        return np.where((places >= 0) & (places < self.classes - 2), places + 1, self.classes - 1)
+    def of(self, words: list[bytes], places: np.ndarray) -> np.ndarray:
+        out, ends = self.of_head[places], self.ends
+        for i in np.flatnonzero(places < 0).tolist():
+            last = words[i][-2:]
+            if last not in ends:
+                ends[last] = self.own + 1 + ending(last, self.endings)
+            out[i] = ends[last]
+        return out
 
 
 class Model:
     """score(w | v, u) = (one[v] + two[u]) . target[w] + bias[w] for w after v after u."""
 
-    def __init__(self, tables: np.ndarray):
+    def __init__(self, tables: np.ndarray, adapted: np.ndarray | None = None):
         self.tables = tables  # (3 * classes, width + 1): one, two, target; the last column of target is the bias
         k = len(tables) // 3
         self.one, self.two, self.target = tables[:k, :-1], tables[k : 2 * k, :-1], tables[2 * k :, :-1]
         self.bias = tables[2 * k :, -1]
-        self.adapted = np.full_like(tables, 1e-6)
+        self.adapted = np.full_like(tables, 1e-6) if adapted is None else adapted  # squares of past steps, summed
 
     @classmethod
     def start(cls, mass: np.ndarray, width: int = WIDTH, seed: int = 5) -> Model:
@@ -145,14 +174,14 @@ class Model:
         up = 1 / (1 + np.exp(np.clip(true, -30, 30)))
         down = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
         at_hidden = up[:, None] * self.target[w] + down @ self.target[noise]
-        step = np.zeros_like(self.tables)
-        for index, rows in ((v, at_hidden), (k + u, at_hidden), (2 * k + w, np.c_[up[:, None] * hidden, up]), (2 * k + noise, np.c_[down.T @ hidden, down.sum(axis=0)])):
+        at_target = np.r_[np.c_[up[:, None] * hidden, up], np.c_[down.T @ hidden, down.sum(axis=0)]]
+        for index, rows in ((v, at_hidden), (k + u, at_hidden), (2 * k + np.r_[w, noise], at_target)):
             order = np.argsort(index, kind="stable")
             first = np.flatnonzero(np.r_[True, np.diff(index[order]) > 0])
-            step[index[order][first], : rows.shape[1]] += np.add.reduceat(rows[order], first, axis=0)
-        step /= len(w)
-        self.adapted += step * step
-        self.tables += RATE * step / np.sqrt(self.adapted)
+            at, step = index[order][first], np.add.reduceat(rows[order], first, axis=0) / np.float32(len(w))
+            here = slice(step.shape[1])
+            self.adapted[at, here] += step * step
+            self.tables[at, here] += RATE * step / np.sqrt(self.adapted[at, here])
 
     def log_tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Scores by earlier class, bias, and the log of the normaliser of every pair of earlier classes."""
@@ -161,113 +190,139 @@ class Model:
         return one.astype(np.float32), two.astype(np.float32), self.bias.astype(np.float64), norm
 
 
-def _steps(batches: Iterator[pa.RecordBatch], classes: Classes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _steps(texts: Iterator[str], classes: Classes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(one before, two before, token) by class, in batches."""
     held, size = [], 0
-    for b in batches:
-        for text in b.column(0).to_pylist():
-            own = classes.of(classes.places(words_of(text)))
-            seen = np.r_[0, 0, own, 0]
-            held.append(np.stack([seen[1:-1], seen[:-2], seen[2:]]))
-            size += len(own) + 1
-            if size >= 16 * BATCH:
-                every = np.concatenate(held, axis=1)
-                for i in range(0, size - BATCH + 1, BATCH):
-                    yield tuple(every[:, i : i + BATCH])
-                held, size = [every[:, size - size % BATCH :]], size % BATCH
+    for text in texts:
+        words = words_of(text)
+        seen = np.r_[0, 0, classes.of(words, classes.places(words)), 0]
+        held.append(np.stack([seen[1:-1], seen[:-2], seen[2:]]))
+        size += len(words) + 1
+        if size >= 16 * BATCH:
+            every = np.concatenate(held, axis=1)
+            for i in range(0, size - BATCH + 1, BATCH):
+                yield tuple(every[:, i : i + BATCH])
+            held, size = [every[:, size - size % BATCH :]], size % BATCH
     if size:
         every = np.concatenate(held, axis=1)
         for i in range(0, size, BATCH):
             yield tuple(every[:, i : i + BATCH])
 
 
-def trained(texts: DataFrame, start: Model, head, mass: np.ndarray, seed: int = 11) -> Model:
-    """Every task trains on all its texts from the same start; the models are averaged, weighted by their tokens, row by row in Spark."""
+def trained(dealt: DataFrame, start: Model, shards: int, classes, mass: np.ndarray) -> Model:
+    """Each shard trains a model on its texts in the order of their hashes, all from the same start; the models and their past
+    steps are averaged, weighted by tokens, row by row in Spark. The texts of a shard are read as a stream, never held."""
     width = start.tables.shape[1]
-    columns = [f"c{i}" for i in range(width)]
-    given = texts.sparkSession.sparkContext.broadcast(start.tables)
+    columns = [f"c{i}" for i in range(2 * width)]
+    context = dealt.sparkSession.sparkContext
+    given = context.broadcast((start.tables, start.adapted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, n = Model(given.value.copy()), 0
         share = mass / mass.sum()
         log_noise, total = np.log(share).astype(np.float32), np.cumsum(share)
-        rng = np.random.default_rng(seed + TaskContext.get().partitionId())
-        for v, u, w in _steps(batches, Classes(head.value, len(mass))):
-            noise = np.minimum(np.searchsorted(total, rng.random(NOISE)), len(mass) - 1)
-            model.train(v, u, w, noise, log_noise)
-            n += len(w)
-        if n:
-            rows = [pa.array(np.arange(len(model.tables))), pa.array(np.full(len(model.tables), n))]
-            yield pa.RecordBatch.from_arrays([*rows, *(pa.array(model.tables[:, i].astype(np.float64)) for i in range(width))], ["row", "n", *columns])
-
-    each = texts.select("text").mapInArrow(run, "row long, n long, " + ", ".join(f"{c} double" for c in columns))
-    mean = each.groupBy("row").agg(*[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in columns])
-    out = start.tables.copy()
+        index = Classes(*classes.value)
+        rows = ((s, t) for b in batches for s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        for shard, own in groupby(rows, lambda r: r[0]):
+            model, n, rng = Model(*(x.copy() for x in given.value)), 0, np.random.default_rng((11, shard))
+            for v, u, w in _steps((t for _, t in own), index):
+                noise = np.minimum(np.searchsorted(total, rng.random(NOISE)), len(mass) - 1)
+                model.train(v, u, w, noise, log_noise)
+                n += len(w)
+            values = np.c_[model.tables, model.adapted]
+            rows_of = [pa.array(np.arange(len(values))), pa.array(np.full(len(values), n))]
+            yield pa.RecordBatch.from_arrays([*rows_of, *(pa.array(np.ascontiguousarray(values[:, i])) for i in range(2 * width))], ["row", "n", *columns])
+
+    by_shard = dealt.withColumn("shard", F.pmod(F.shiftright("hash", 4), F.lit(shards)).cast("int")).repartition(shards, "shard").sortWithinPartitions("shard", "hash", "text")
+    each = by_shard.select("shard", "text").mapInArrow(run, "row long, n long, " + ", ".join(f"{c} float" for c in columns))
+    mean = each.groupBy("row").agg(*[(F.sum(F.col(c).cast("double") * F.col("n")) / F.sum("n")).alias(c) for c in columns])
+    out = np.c_[start.tables, start.adapted]
     for r in mean.collect():  # as many rows as the model has, whatever the corpus
         out[r[0]] = r[1:]
-    return Model(out)
+    return Model(*(np.ascontiguousarray(x) for x in (out[:, :width], out[:, width:])))
+
+
+@dataclass
+class Fitted:
+    """A model with the counts it stands on; counted is the stored table of all words' counts."""
+
+    known: Corpus
+    counted: DataFrame
+    model: Model
+    mass: np.ndarray
+
+
+def fit(training: DataFrame, head: int = HEAD, endings: int = ENDINGS, width: int = WIDTH, shard: int = SHARD) -> Fitted:
+    """The model of the texts that marked() has made. The same rows give the same model, however they are partitioned, up to
+    the order in which Spark adds floating-point numbers."""
+    counted = word_counts(training)
+    known = corpus(training, counted, head, endings)
+    mass = known.class_mass()
+    model = Model.start(mass, width)
+    if known.texts:
+        classes = training.sparkSession.sparkContext.broadcast((known.head, known.own, len(known.by_ending)))
+        hashed = training.select("text", F.xxhash64("doc_id", "text").alias("hash"))  # the id deals copies of a text to many shards
+        part = F.pmod(F.col("hash"), F.lit(ROUNDS[-1]))
+        for first, last in zip((0, *ROUNDS), ROUNDS, strict=False):
+            shards = max(1, round(known.tokens * (last - first) / ROUNDS[-1] / shard))
+            model = trained(hashed.where((part >= first) & (part < last)), model, shards, classes, mass)
+    return Fitted(known, counted, model, mass)
 
 
-def _scored(docs: DataFrame, head, counts, tables, known: Corpus, classes: int) -> DataFrame:
+def _scored(docs: DataFrame, fitted: Fitted) -> DataFrame:
     """Each text's sums over what its task knows, and the words it must look up: row, doc_id, held_out, n_tokens, n_known, base, model, rest."""
-    half_end = math.log10(known.texts + 0.5)
-    texts_known = int(known.texts > 0)
+    known, context = fitted.known, docs.sparkSession.sparkContext
+    half_end, texts_known = math.log10(known.texts + 0.5), int(known.texts > 0)
+    given = context.broadcast((known.head, known.own, len(known.by_ending), known.counts, fitted.mass, fitted.model.log_tables()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two, bias, norm = tables.value
-        index, logs = Classes(head.value, classes), np.log10(counts.value + 0.5)
+        head, own_words, endings, counts, mass, (one, two, bias, norm) = given.value
+        index, logs = Classes(head, own_words, endings), np.log10(counts + 0.5)
+        within = np.r_[np.zeros(own_words + 1), -np.log10(mass[own_words + 1 :])]
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))]
         row = TaskContext.get().partitionId() << 33
-        for b in batches:
+        for part in (b.slice(i, 128) for b in batches for i in range(0, b.num_rows, 128)):
             out = []
-            for doc, text, held_out in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc, text, held_out in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 words = words_of(text)
                 places = index.places(words)
-                own = index.of(places)
+                own = index.of(words, places)
                 seen = np.r_[0, 0, own, 0]
                 v, u, w = seen[1:-1], seen[:-2], seen[2:]
                 score = float((one[v, w].astype(np.float64) + two[u, w] + bias[w] - norm[v, u]).sum()) / math.log(10)
                 here = places[places >= 0]
-                base = float(logs[here].sum()) + half_end
-                within = float(logs[here[here >= classes - 2]].sum())
+                shares = float(within[own].sum() + logs[here[here >= own_words]].sum())
                 rest = Counter(words[i] for i in np.flatnonzero(places < 0).tolist())
-                rare = int((own == classes - 1).sum())
-                out.append((row, doc, held_out, len(words) + 1, len(here) + texts_known, base, score + within, rare, [(x, n) for x, n in rest.items()]))
+                out.append((row, doc, held_out, len(words) + 1, len(here) + texts_known, float(logs[here].sum()) + half_end, score + shares, [{"word": x, "n": n} for x, n in rest.items()]))
                 row += 1
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))]
-            arrays = [pa.array(x, k) for x, k in zip(list(zip(*out, strict=True))[:-1] if out else [()] * 8, kinds[:-1], strict=True)]
-            rest = [[{"word": x, "n": n} for x, n in r[-1]] for r in out]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(rest, kinds[-1])], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rare", "rest"])
+            columns = zip(*out, strict=True) if out else [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rest"])
 
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, rare long, rest array<struct<word:binary,n:long>>"
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, rest array<struct<word:binary,n:long>>"
     return stored(docs.select("doc_id", "text", "held_out").mapInArrow(run, schema))
 
 
-def lm_scores(docs: DataFrame, classes: int = CLASSES, head: int = HEAD, width: int = WIDTH, warm: int = WARM_DOCUMENTS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
-
-    score is the model's log10 probability of the text, normalised over all words and one unknown one. Trained on all texts
-    that are not held out. Null or empty text: its end alone. Repeated rows each give a row; a null doc_id stays null (its
-    text trains); other columns are left behind. Empty table: no rows. Without any training text score is base_score.
-    """
-    context = docs.sparkSession.sparkContext
-    docs = marked(docs)
-    training = docs.where(~F.col("held_out"))
-    counted = word_counts(training)
-    known = corpus(training, counted, head)
-    mass = known.class_mass(classes)
-    names, numbers = context.broadcast(known.head), context.broadcast(known.counts)
-    model = Model.start(mass if known.texts else np.ones(classes), width)
-    if known.texts:
-        some = training.sample(min(1.0, warm / known.texts), 3).repartition(1)
-        model = trained(some, model, names, mass)
-        model = trained(training, model, names, mass)
-    first = _scored(docs, names, numbers, context.broadcast(model.log_tables()), known, classes)
+def scores(docs: DataFrame, fitted: Fitted) -> DataFrame:
+    """The columns of lm_scores for docs, which marked() has made."""
+    known = fitted.known
+    first = _scored(docs, fitted)
     rest = first.select("row", F.explode("rest").alias("x")).select("row", "x.word", "x.n")
-    found = rest.join(counted.select("word", F.col("n").alias("c")), "word", "left")
+    found = rest.join(fitted.counted.select("word", F.col("n").alias("c")), "word", "left")
     logs = F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))
     sums = found.groupBy("row").agg(F.sum(F.col("n") * logs).alias("logs"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("seen"))
     logs = F.coalesce("logs", F.lit(0.0))
     base = F.col("base") + logs - F.col("n_tokens") * F.lit(math.log10(known.base_mass))
-    score = F.col("model") + logs - F.col("rare") * F.lit(math.log10(max(mass[-1], 0.5))) if known.texts else base
+    score = F.col("model") + logs if known.texts else base
     out = first.drop("rest").join(sums, "row", "left")
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(known.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
+
+
+def lm_scores(docs: DataFrame, head: int = HEAD, endings: int = ENDINGS, width: int = WIDTH, shard: int = SHARD) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
+
+    score is the model's log10 probability of the text, normalised over all words and one unknown one of each ending. Trained
+    on all texts that are not held out. Null or empty text: its end alone. Repeated rows each give a row; a null doc_id stays
+    null (its text trains); other columns are left behind. Very long texts and words are whole. Empty table: no rows. Without
+    any training text score is base_score.
+    """
+    docs = marked(docs)
+    return scores(docs, fit(docs.where(~F.col("held_out")), head, endings, width, shard))

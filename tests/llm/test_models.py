@@ -38,13 +38,13 @@ def same(got, want):
 @pytest.mark.parametrize("head", [lm.HEAD, 1500, 0])
 def test_base_scores_equal_brute_force(spark, sf_dir, head):
     docs = table(spark, sf_dir, "documents")
-    got = lm.lm_scores(docs, classes=64, head=head, width=8).collect()
+    got = lm.lm_scores(docs, head=head, endings=16, width=8).collect()
     same(got, base_scores([tuple(r) for r in docs.select("doc_id", "text").collect()]))
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
 
 
 def test_odd_and_empty_tables(spark):
-    same(lm.lm_scores(odd(spark), classes=16, width=4).collect(), base_scores([r[:2] for r in odd_rows()]))
+    same(lm.lm_scores(odd(spark), endings=8, width=4).collect(), base_scores([r[:2] for r in odd_rows()]))
     assert lm.lm_scores(empty(spark)).count() == 0
 
 
@@ -77,7 +77,49 @@ def test_model_is_normalised_and_learns():
 def test_held_out_texts_score_above_the_base(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     rows = [r for r in lm.lm_scores(docs).collect() if r.held_out]
-    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+    assert sum(r.score - r.base_score for r in rows) > 0.2 * sum(r.n_tokens for r in rows)
+    assert sum(r.score > r.base_score for r in rows) > 0.85 * len(rows)
+
+
+@pytest.mark.parametrize("head", [lm.HEAD, 300])
+def test_scores_equal_a_slow_recomputation(spark, sf_dir, head):
+    docs = lm.marked(table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(odd(spark).select("doc_id", "text")))
+    fitted = lm.fit(docs.where("not held_out"), head=head, endings=32, width=8, shard=20_000)
+    rows = [tuple(r) for r in docs.collect()]
+    c = Counter(w for _, t, h in rows if not h for w in words(t))
+    own = {w.decode(): i for i, w in enumerate(fitted.known.head[: fitted.known.own], 1)}
+    k = len(own) + 1 + 32
+    of = lambda w: own.get(w) or len(own) + 1 + zlib.crc32(w.encode()[-2:]) % 32
+    mass = Counter({x: 0.5 for x in range(len(own) + 1, k)})
+    for w, n in c.items():
+        mass[of(w)] += n + 0.5
+    one, two, target = (fitted.model.tables[i * k : (i + 1) * k, :-1].astype(float) for i in range(3))
+    bias = fitted.model.tables[2 * k :, -1].astype(float)
+
+    def probabilities(v, u):
+        x = np.exp((one[v] + two[u]) @ target.T + bias)
+        return x / x.sum()
+
+    total = probabilities(of("der"), of("never seen"))
+    assert math.isclose(total[0] + sum(total[of(w)] * (n + 0.5) / mass[of(w)] for w, n in c.items()) + sum(total[x] * 0.5 / mass[x] for x in range(len(own) + 1, k)), 1, rel_tol=1e-9)
+    want = []
+    for d, t, h in rows:
+        score, seen = 0.0, [0, 0]
+        for w in [*words(t), None]:
+            x = 0 if w is None else of(w)
+            score += math.log10(probabilities(seen[-1], seen[-2])[x]) + (math.log10((c[w] + 0.5) / mass[x]) if w is not None and w not in own else 0)
+            seen.append(x)
+        want.append((d is not None, d or 0, h, len(seen) - 2, score))
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.held_out, r.n_tokens, r.score) for r in lm.scores(docs, fitted).collect())
+    assert [g[:4] for g in got] == [w[:4] for w in sorted(want)]
+    assert np.allclose([g[4] for g in got], [w[4] for w in sorted(want)], rtol=1e-6)
+
+
+def test_scores_do_not_depend_on_partitions(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    one, other = ([(r.doc_id, r.score / r.n_tokens) for r in sorted(lm.lm_scores(docs.repartition(n), shard=10_000).collect())] for n in (2, 16))
+    assert [d for d, _ in one] == [d for d, _ in other]
+    assert np.allclose([s for _, s in one], [s for _, s in other], atol=1e-4)
 
 
 def test_top_k_equals_sql(spark, sf_dir):
