@@ -36,7 +36,7 @@ NOISE, BATCH, RATE = 128, 2048, 0.15
 #: Of 16 parts of the training texts, those that the rounds end with; all shards of a round start from the last one's average.
 ROUNDS = (1, 4, 9, 16)
 #: Training tokens of a shard, about.
-SHARD = 2_000_000
+SHARD = 1_000_000
 FLUSH = 400_000
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -170,9 +170,13 @@ class Model:
         k, many = len(self.bias), len(noise)
         hidden = self.one[v] + self.two[u]
         true = np.einsum("ij,ij->i", hidden, self.target[w]) + self.bias[w] - log_noise[w] - math.log(many)
-        false = hidden @ self.target[noise].T + (self.bias[noise] - log_noise[noise] - np.float32(math.log(many)))
         up = 1 / (1 + np.exp(np.clip(true, -30, 30)))
-        down = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
+        down = hidden @ self.target[noise].T  # from here on in place: what takes time are passes over new memory
+        down += self.bias[noise] - log_noise[noise] - np.float32(math.log(many))
+        np.clip(down, -30, 30, out=down)
+        np.exp(np.negative(down, out=down), out=down)
+        down += 1
+        np.divide(-1, down, out=down)
         at_hidden = up[:, None] * self.target[w] + down @ self.target[noise]
         at_target = np.r_[np.c_[up[:, None] * hidden, up], np.c_[down.T @ hidden, down.sum(axis=0)]]
         for index, rows in ((v, at_hidden), (k + u, at_hidden), (2 * k + np.r_[w, noise], at_target)):
@@ -186,8 +190,11 @@ class Model:
     def log_tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Scores by earlier class, bias, and the log of the normaliser of every pair of earlier classes."""
         one, two = (np.clip(x.astype(np.float64) @ self.target.T.astype(np.float64), -40, 40) for x in (self.one, self.two))
-        norm = np.log((np.exp(one) * np.exp(self.bias.astype(np.float64))) @ np.exp(two).T)
-        return one.astype(np.float32), two.astype(np.float32), self.bias.astype(np.float64), norm
+        bias, tables = self.bias.astype(np.float64), (one.astype(np.float32), two.astype(np.float32))
+        np.exp(one, out=one)
+        one *= np.exp(bias)
+        norm = one @ np.exp(two, out=two).T
+        return *tables, bias, np.log(norm, out=norm)
 
 
 def _steps(texts: Iterator[str], classes: Classes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
