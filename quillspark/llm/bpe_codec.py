@@ -138,7 +138,8 @@ def codec(vocabulary: str = VOCABULARY) -> Codec:
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, ids binary (little-endian unsigned 32-bit) of each whole text.
 
-    Null text: no ids. Repeated rows each give a row; a null doc_id stays null; other columns are left behind.
+    Null or empty text: no ids. Repeated rows each give a row; a null doc_id stays null; other columns are left behind. A long
+    text is encoded whole, pre-token by pre-token. Empty table: no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +151,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, data binary: the bytes that ids stand for. Null ids: no bytes. An id outside the vocabulary fails."""
+    """doc_id, data binary: the bytes that ids stand for. Null ids: no bytes. An id outside the vocabulary fails. Empty table: no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary)
@@ -163,7 +164,7 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 def codec_digests(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """Encode, decode what was encoded, and digest both, text by text, so that neither form is ever stored.
 
-    doc_id, n_tokens, ids_sha256, decoded_sha256. Nulls, repeats and other columns as in encode().
+    doc_id, n_tokens, ids_sha256, decoded_sha256. Nulls, repeats, other columns, long texts and an empty table as in encode().
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -25,8 +26,13 @@ def _own_folder() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new name in the folder all executors share: spark.checkpoint.dir, or where that is unset (a test) a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """A new name in the folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary folder in local mode
+    (as in tests), and an error on a cluster, whose tasks don't share the driver's folders."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own_folder()
     if "://" not in base:  # a bare path is in the session's default store, which tasks that write files must know too
         path = spark._jvm.org.apache.hadoop.fs.Path(base)
         base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().replace("file:/", "file:///", 1)

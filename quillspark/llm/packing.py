@@ -107,7 +107,7 @@ def packed(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = 2, capac
     """Every piece of every document with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null or empty text: one piece with the end id. Repeated rows are packed each; a null doc_id stays null; other columns
-    are left behind. Empty table: no rows.
+    are left behind. A long text makes as many pieces as it needs. Empty table: no rows.
     """
     # Once stored, row numbers are fixed; they deal out the pieces of repeated or null ids.
     numbered = pieces(docs, vocabulary, end_id, capacity).withColumn("row", F.monotonically_increasing_id())

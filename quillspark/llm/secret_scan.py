@@ -122,7 +122,7 @@ def secret_scan(docs: DataFrame) -> DataFrame:
 
     spans lists kind:start:end by start, then kind as listed; base_sha256 is of the base kinds alone. Null or empty text:
     0, the digest of nothing, and ''. Repeated rows each give a row; a null doc_id stays null; other columns are left
-    behind. Empty table: no rows.
+    behind. Candidates of a million characters are scanned whole. Empty table: no rows.
     """
     base = f"filter(spans, x -> x.kind < {len(BASE)})"
     counts = [F.expr(f"cast(size(filter(spans, x -> x.kind = {k})) as bigint)").alias(f"n_{kind}") for k, kind in enumerate(BASE)]
@@ -130,7 +130,11 @@ def secret_scan(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs, all columns, with each run of overlapping or touching spans in text replaced by mark, and n_chars (if there) counted again. A null text stays null."""
+    """docs, all columns, with each run of overlapping or touching spans in text replaced by mark, and n_chars (if there) counted again.
+
+    A null text stays null and an empty one empty. Null ids and repeated rows are kept, row by row; candidates and texts of a
+    million characters are masked whole; columns may have any names. Empty table: no rows.
+    """
     whole = docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
     merged = (
         "aggregate(spans, cast(array() as array<struct<start:int,end:int>>), (a, x) -> "

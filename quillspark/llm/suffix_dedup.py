@@ -318,7 +318,7 @@ def suffix_dedup(docs: DataFrame, size: int = SIZE, widths: tuple[int, ...] = WI
 
 def without_repeats(docs: DataFrame, size: int = SIZE, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """docs, all columns, with those bytes gone from text, and n_chars (if there) counted again. Of a character that a cut
-    splits the rest goes too. A null text stays null."""
+    splits the rest goes too. Nulls, repeats, names, long texts and an empty table as in without_passages()."""
     return _cleaned(docs, lambda whole: repeated_runs(whole, size, widths), _cut)
 
 
@@ -331,7 +331,11 @@ def _cut_words(data: bytes, runs: list[dict], words: int) -> bytes:
 
 def without_passages(docs: DataFrame, words: int = PASSAGE, widths: tuple[int, ...] = PASSAGE_WIDTHS) -> DataFrame:
     """docs, all columns, without each word that lies in a run of `words` words which also starts anywhere else in the table,
-    and without the white space inside such runs; n_chars (if there) is counted again. A null text stays null."""
+    and without the white space inside such runs; n_chars (if there) is counted again.
+
+    A null text stays null. Repeated rows, whatever their ids, are copies of each other; all rows stay. Long texts are taken in
+    parts; columns may have any names. Empty table: no rows.
+    """
     return _cleaned(docs, lambda whole: repeated_runs(whole, words * WORD, widths, word_hashes, 2 * words - 1), lambda data, runs: _cut_words(data, runs, words))
 
 

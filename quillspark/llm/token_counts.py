@@ -118,6 +118,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIM
     """doc_id, n_bytes, n_tokens, over_limit (more than limit tokens) of each whole text.
 
     Null or empty text: 0 and false. Repeated rows each give a row; a null doc_id stays null; other columns are left behind.
+    Texts and words of any length are counted whole. Empty table: no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -86,10 +86,11 @@ def _sufficient(x: np.ndarray, ids: np.ndarray, q: _Queries, tile: slice, k: int
     """Phases 2 and 3: (query, row, score) of all entries that reach the query's cutoff."""
     cut = q.cutoff[tile, None]
     parts = [_product(x[:, c], q.matrix[tile][:, c]) for c in np.array_split(np.arange(x.shape[1]), LISTS) if len(c)]
-    share = cut / len(parts) - 1e-6  # float division; a little lower is safe
+    share = cut / len(parts)
+    share = share - 1e-12 * np.abs(share, where=np.isfinite(share), out=np.zeros_like(share)) - 1e-6  # a little lower than rounding could make it is safe
     reaches = reduce(np.logical_or, (s >= share for s in parts))
     most = sum(np.maximum(s.astype(np.float64), np.where(np.isinf(share), s.astype(np.float64), share)) for s in parts)
-    qi, xi = np.nonzero(reaches & (most >= cut - 1e-3) & (q.ids[tile, None] != ids[None, :]))
+    qi, xi = np.nonzero(reaches & (most >= len(parts) * share - 1e-3) & (q.ids[tile, None] != ids[None, :]))
     scores = _exact(x, q, qi + tile.start, xi)
     enough = scores >= q.cutoff[qi + tile.start]
     return qi[enough] + tile.start, xi[enough], scores[enough]
@@ -103,11 +104,18 @@ def _exact(x: np.ndarray, q: _Queries, qi: np.ndarray, xi: np.ndarray) -> np.nda
     return out
 
 
+def _lower(cutoff: float) -> float:
+    """cutoff, or the next number below where floating point may not hold it."""
+    return cutoff if abs(cutoff) < 2**53 or cutoff == -np.inf else float(np.nextafter(float(cutoff), -np.inf))
+
+
 def _pass(candidates: DataFrame, queries: dict[int, _Queries], phase, k: int) -> DataFrame:
     """(query_id, vec_id, score): the k best entries of every query that `phase` finds in each partition."""
+    given = candidates.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], tuple] = {}
+        queries = given.value
         for ids, x in _chunks(batches, {*queries}):
             q = queries[x.shape[1]]
             for at in range(0, len(q.ids), TILE):
@@ -132,9 +140,10 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = K, scale: int = SCALE,
     against all rows with another vec_id; all, if fewer. Ties go to smaller vec_ids.
 
     Vectors that are null, empty or not finite, and null ids, take no part; a query meets vectors of its own length. Repeated
-    rows are candidates each; of repeated query ids one row asks (the smallest vector). Empty table: no rows.
+    rows are candidates each; of repeated query ids one row asks (the smallest vector). Vectors may be of any length: a task
+    multiplies 2048 at a time. Empty table: no rows.
     """
-    candidates = quantised(vectors, scale)
+    candidates = stored(quantised(vectors, scale))
     asked = candidates.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = stored(asked)
     blocks = max(1, -(-asked.count() // block))
@@ -148,7 +157,7 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = K, scale: int = SCALE,
         last = _ranked(_pass(candidates, queries, _leaders, k), k).where(F.col("rank") == k)
         cutoffs = {r.query_id: r.score for r in last.select("query_id", "score").collect()}  # one row a query
         for q in queries.values():
-            q.cutoff = np.array([cutoffs.get(i, -np.inf) for i in q.ids.tolist()], np.float64)
+            q.cutoff = np.array([_lower(cutoffs.get(i, -np.inf)) for i in q.ids.tolist()], np.float64)
         found = _ranked(_pass(candidates, queries, _sufficient, k), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
         results.append(stored(found) if blocks > 1 else found)
     return reduce(DataFrame.unionByName, results)

@@ -146,6 +146,17 @@ def test_top_k_ties_nulls_lengths_and_large_values(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_scores_beyond_exact_floats_keep_every_entry(spark):
+    rows = [(i, [float(2**20 + 3 * i), 1.0 + i / 7, 5.0, 0.25]) for i in range(200)] + [(500 + i, [float(2**20)] * 3 + [0.5]) for i in range(15)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows]
+    want = Counter()
+    for q, x in whole:
+        if q % 100 == 0:
+            want.update((q, k, i, -s) for k, (s, i) in enumerate(sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in whole if i != q)[:10], 1))
+    assert Counter(map(tuple, topk.top_k(df).collect())) == want
+
+
 def test_a_large_query_is_exact():
     x, q = np.array([[2**40, 3]]), np.array([[2**20, -1]])
     assert topk._product(x, q)[0, 0] == 2**60 - 3

@@ -7,11 +7,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as public
+import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quillspark.llm import packing, suffix_dedup
+from quillspark.llm import common, packing, quality, secret_scan, similar, suffix_dedup
 
+from .helpers import COLUMNS, odd_rows
 from .test_dedup import planted
 from .test_similar import survivors
 
@@ -75,3 +77,28 @@ def test_run_equals_a_pipeline_in_plain_python(spark, tmp_path):
         used[x.sequence_id].append((x.offset, x.length))
     for own in used.values():
         assert [a for a, _ in sorted(own)] == [0, *np.cumsum([n for _, n in sorted(own)])[:-1]] and sum(n for _, n in own) <= packing.CAPACITY
+
+
+def test_stages_take_odd_rows_clashing_names_and_empty_tables(spark):
+    rows = [(*r, "x") for r in odd_rows()]
+    names = COLUMNS + ", _none string"
+    docs, none = spark.createDataFrame(rows, names).repartition(3), spark.createDataFrame([], names)
+    for stage in (quality.kept_documents, similar.one_of_similar, suffix_dedup.without_passages, suffix_dedup.without_repeats, secret_scan.redacted):
+        out = stage(docs)
+        assert out.columns == docs.columns and 0 < out.count() <= len(rows)
+        assert out.where("_none <> 'x' or lang <> 'en'").count() == 0
+        assert stage(none).columns == docs.columns and stage(none).count() == 0
+    for stage in (suffix_dedup.without_passages, suffix_dedup.without_repeats, secret_scan.redacted):
+        assert Counter(r.doc_id for r in stage(docs).select("doc_id").collect()) == Counter(r[0] for r in rows)
+        assert stage(docs).where("doc_id = 2 and text is null").count() == 1
+    assert packing.packed(none).count() == 0
+    assert {r.doc_id for r in packing.packed(docs).collect()} == {r[0] for r in rows}
+
+
+def test_the_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
+    class Cluster:
+        conf = {}
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Cluster())
