@@ -14,7 +14,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from .text import SECRET_KEYS
+from .text import SECRET_KEYS, scrubbed
+
+
+#: Keys whose values are credentials, and keys whose values are what people wrote.
+SENSITIVE_KEYS = (
+    "authorization proxy-authorization cookie set-cookie password postgres_password secret client_secret api_key apikey access_token refresh_token id_token token jwt session "
+    "aws_secret_access_key aws_access_key_id presigned_url upload_url download_url signature x-amz-signature code_verifier private_key"
+).split()
+CONTENT_KEYS = "text content message body html sanitized_html plain_text parts payload raw_payload title prompt answer".split()
+
+
+def scrubbed_map(fields: Column, allow_content: bool = False) -> Column:
+    """Log fields: credentials and, unless allowed, content are masked by key, all else by pattern."""
+
+    def one(key: Column, value: Column) -> Column:
+        out = F.when(F.lower(key).isin(SENSITIVE_KEYS), "[REDACTED]")
+        return (out if allow_content else out.when(F.lower(key).isin(CONTENT_KEYS), "[CONTENT_SUPPRESSED]")).otherwise(scrubbed(value))
+
+    return F.transform_values(fields, one)
 
 
 @pandas_udf(StringType())

@@ -90,3 +90,20 @@ def split_name(key: Column, ratios: dict[str, float]) -> Column:
         case = split_bucket(key) < F.lit(bound)
         out = F.when(case, F.lit(name)) if out is None else out.when(case, F.lit(name))
     return F.lit(names[-1]) if out is None else out.otherwise(F.lit(names[-1]))
+
+
+#: Fixed patterns: what a log line must not hold, and what stands there instead.
+SCRUBS = (
+    (r"(?i)bearer\s+[A-Za-z0-9._~+/-]+=*", "Bearer [REDACTED]"),
+    (r"(?i)\bAKIA[0-9A-Z]{16}\b", "[REDACTED_AWS_KEY]"),
+    (r"(?i)(X-Amz-Signature=)[0-9a-f]+", "$1[REDACTED]"),
+    (r"(?i)(X-Amz-Credential=)[^&\s]+", "$1[REDACTED]"),
+    (r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "[REDACTED_JWT]"),
+)
+
+
+def scrubbed(text: Column) -> Column:
+    """A log line without bearer values, access keys, parts of signed addresses and three-part tokens."""
+    for pattern, mark in SCRUBS:
+        text = F.regexp_replace(text, pattern, mark)
+    return text

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import objects as O
 from ..functions import text as T
 from ..operators import capture as C
 from ..operators import identity as I
+from ..operators.numbering import numbered
+from ..sources.sinks import part_files
 from ..sources.tables import table
+from ..streaming.events import scratch
 from .registry import query
 from .sql import BUCKET, LOG
 
@@ -71,9 +75,8 @@ def export_records(spark: SparkSession, sf_dir: str) -> DataFrame:
  select split, cast(row_number() over (order by split, chunk) - 1 as int) as part, conversations, records, first_conversation from p""")
 def export_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of 200 conversations within each split, numbered over all splits: only the parts' totals meet in one window."""
-    own = split_of(table(spark, sf_dir, "conversations"))
-    chunk = F.floor((F.row_number().over(Window.partitionBy("split").orderBy("conv_id")) - 1) / 200)
-    parts = own.withColumn("chunk", chunk).groupBy("split", "chunk").agg(F.count("*").alias("conversations"), F.sum("turns").alias("records"), F.min("conv_id").alias("first_conversation"))
+    own = numbered(split_of(table(spark, sf_dir, "conversations")), "split", "conv_id")
+    parts = own.withColumn("chunk", F.floor(F.col("number") / 200)).groupBy("split", "chunk").agg(F.count("*").alias("conversations"), F.sum("turns").alias("records"), F.min("conv_id").alias("first_conversation"))
     number = (F.row_number().over(Window.orderBy("split", "chunk")) - 1).cast("int")
     return parts.select("split", number.alias("part"), "conversations", "records", "first_conversation")
 
@@ -90,3 +93,52 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = I.versions(C.admitted(C.capture_log(spark, sf_dir)))
     message = v.groupBy("conv_id", "turn", "role").agg(F.array_sort(F.collect_list(F.struct("version_number", "digest", "first_arrival"))).alias("versions"))
     return message.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "versions"))).alias("messages"))
+
+
+def curated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record a conversation, with its current turns, pairs and digest, before it is split. The digest is of the record's
+    JSON with sorted keys."""
+    current = I.current(I.versions(C.admitted(C.capture_log(spark, sf_dir))))
+    turn = F.struct(F.col("current_digest").alias("content_sha256"), "role", F.col("turn").alias("sequence_index"))
+    own = current.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("turn").alias("at"), turn.alias("entry")))).alias("list"))
+    messages = F.transform("list", lambda x: x["entry"])
+    following = F.zip_with(F.slice("messages", F.lit(1), F.greatest(F.size("messages") - 1, F.lit(0))), F.slice("messages", F.lit(2), F.greatest(F.size("messages") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    answered = F.filter(following, lambda x: (x["a"]["role"] == "user") & (x["b"]["role"] == "assistant"))
+    pairs_of = F.transform(answered, lambda x: F.struct(x["b"]["content_sha256"].alias("answer"), x["a"]["content_sha256"].alias("prompt")))
+    record = F.struct(F.col("conv_id").alias("conversation_id"), F.size("messages").alias("message_count"), "messages", "pairs")
+    return own.withColumn("messages", messages).withColumn("pairs", pairs_of).withColumn("record_sha256", F.sha2(F.to_json(record), 256)).drop("list")
+
+
+_CURATED = f"""{LOG}, cur as (select conv_id, turn, role, digest from versions qualify row_number() over (partition by conv_id, turn order by version_number desc) = 1),
+ nx as (select *, lead(role) over w as next_role, lead(digest) over w as answer from cur window w as (partition by conv_id order by turn)),
+ rec as (select conv_id, count(*) as message_count, count(*) filter (role = 'user' and next_role = 'assistant') as pairs,
+  sha256('{{"conversation_id":' || conv_id || ',"message_count":' || count(*) || ',"messages":[' || string_agg('{{"content_sha256":"' || digest || '","role":"' || role || '","sequence_index":' || turn || '}}', ',' order by turn)
+  || '],"pairs":[' || coalesce(string_agg('{{"answer":"' || answer || '","prompt":"' || digest || '"}}', ',' order by turn) filter (role = 'user' and next_role = 'assistant'), '') || ']}}') as record_sha256, {_SPLIT} as split from nx group by conv_id)"""
+
+
+@query(f"with {_CURATED} select * from rec")
+def curated_export_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = curated_records(spark, sf_dir)
+    return r.select("conv_id", F.size("messages").cast("long").alias("message_count"), F.size("pairs").cast("long").alias("pairs"), "record_sha256", T.split_name(F.col("conv_id").cast("string"), RATIOS).alias("split"))
+
+
+@query(f"""with {_CURATED}, n as (select *, (row_number() over (partition by split order by conv_id) - 1) // {PART_ROWS} as chunk from rec),
+ p as (select split, chunk, count(*) as records, sha256(string_agg(record_sha256, ',' order by conv_id)) as content from n group by all)
+ select split, 'exports/jsonl/e1/' || split || '/part-' || lpad(cast(row_number() over (order by split, chunk) as varchar), 5, '0') || '.jsonl.gz' as object_key, records, true as verified, content from p""")
+def export_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written as parts of at most PART_ROWS of one split, with bytes and digest in a manifest, and read back by it: verified
+    tells whether a file's bytes are those that the manifest names, content is the digest of its records' digests."""
+    folder = scratch(spark)
+    split = T.split_name(F.col("conv_id").cast("string"), RATIOS)
+    rows = numbered(curated_records(spark, sf_dir).withColumn("split", split), "split", "conv_id").withColumn("chunk", F.floor(F.col("number") / PART_ROWS))
+    part_files(rows, f"{folder}/parts", ["conv_id", "messages", "pairs", "record_sha256", "split"], ["split", "chunk"], "conv_id").write.parquet(f"{folder}/manifest")
+    manifest = spark.read.parquet(f"{folder}/manifest")
+    name = F.element_at(F.split("path", "/"), -1).alias("file")
+    stored = spark.read.format("binaryFile").load(f"{folder}/parts").select(name, F.col("length").alias("found"), F.sha2("content", 256).alias("digest"))
+    lines = spark.read.schema("conv_id long, record_sha256 string").json(f"{folder}/parts").select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "conv_id", "record_sha256")
+    back = lines.groupBy("file").agg(F.count("*").alias("read"), F.array_sort(F.collect_list(F.struct("conv_id", "record_sha256"))).alias("own"))
+    whole = manifest.join(stored, "file").join(back, "file")
+    number = F.row_number().over(Window.orderBy("split", "chunk"))  # a row for each part
+    verified = (F.col("bytes") == F.col("found")) & (F.col("sha256") == F.col("digest")) & (F.col("records") == F.col("read"))
+    content = F.sha2(F.array_join(F.transform("own", lambda x: x["record_sha256"]), ","), 256)
+    return whole.select("split", O.part_key(F.lit("e1"), number, F.col("split")).alias("object_key"), "records", verified.alias("verified"), content.alias("content"))

@@ -17,8 +17,12 @@ FILE_ROWS = 1_000_000
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share: under spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillspark-")
+    """A new folder that all executors share: under spark.checkpoint.dir. Where that is unset, a temporary one in local mode, and an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="quillspark-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
