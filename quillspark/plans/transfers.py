@@ -1,0 +1,83 @@
+"""Writers of the archive, each read back: raw documents, dumps, backups and their restoration."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import objects as O
+from ..sources.files import copied, deleted, manifest
+from ..sources.tables import epoch, table
+from ..streaming.events import scratch
+from .operations import _E, AS_OF
+from .registry import query
+
+_BODY = """'{"schema_version":"1.0","source":"pull","source_event_id":"e' || event_id || '","event_time":' || secs || ',"kind":"' || event_type || '","is_deletion":' || case when event_type = 'error' then 'true' else 'false' end || ',"integrity":{"payload_sha256":"' || sha256(props) || '"}}'"""
+
+
+def documents(events: DataFrame) -> DataFrame:
+    """event_id, day, object_key, body: the raw document of each source event."""
+    own = F.concat(F.lit("e"), F.col("event_id").cast("string"))
+    body = F.struct(
+        F.lit("1.0").alias("schema_version"), F.lit("pull").alias("source"), own.alias("source_event_id"), epoch("ts").alias("event_time"), F.col("event_type").alias("kind"), (F.col("event_type") == "error").alias("is_deletion"),
+        F.struct(F.sha2("props", 256).alias("payload_sha256")).alias("integrity"),
+    )
+    key = O.compliance_key(F.concat(F.lit("w"), F.col("user_id").cast("string")), own, F.col("ts"))
+    return events.select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), key.alias("object_key"), F.to_json(body).alias("body"))
+
+
+@query(f"""with e as (select *, {_E} as secs from events) select event_id, 'raw/compliance/' || strftime(ts, 'year=%Y/month=%m/day=%d') || '/workspace=w' || user_id || '/e' || event_id || '.json' as object_key, sha256({_BODY}) as body_sha256 from e""")
+def compliance_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(table(spark, sf_dir, "events")).select("event_id", "object_key", F.sha2("body", 256).alias("body_sha256"))
+
+
+@query(f"""with e as (select *, {_E} as secs from events) select strftime(ts, '%Y-%m-%d') as day, count(*) as events, count(*) filter (event_id % 3 = 0) as marked_before, min(event_id) filter (event_id % 3 <> 0) as first_back_filled, true as all_marked,
+ sha256(string_agg(sha256({_BODY}), ',' order by event_id) filter (event_id % 3 <> 0)) as content from e group by 1""")
+def archive_back_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the events is marked as archived; the others are written by day, read back, and marked by what is found."""
+    folder = scratch(spark)
+    every = documents(table(spark, sf_dir, "events"))
+    marked = every.where(F.col("event_id") % 3 == 0).select("event_id")
+    every.join(marked, "event_id", "left_anti").write.partitionBy("day").json(f"{folder}/documents")
+    found = spark.read.schema("event_id long, object_key string, body string").json(f"{folder}/documents").select("event_id", F.sha2("body", 256).alias("digest"))
+    marks = every.select("event_id", "day").join(marked.withColumn("before", F.lit(True)), "event_id", "left").join(found, "event_id", "left")
+    own = F.array_sort(F.collect_list(F.when(F.col("digest").isNotNull(), F.struct("event_id", "digest"))))
+    days = marks.groupBy("day").agg(F.count("*").alias("events"), F.count("before").alias("marked_before"), F.min(F.when(F.col("digest").isNotNull(), F.col("event_id"))).alias("first_back_filled"), F.bool_and(F.col("before").isNotNull() | F.col("digest").isNotNull()).alias("all_marked"), own.alias("own"))
+    return days.withColumn("content", F.sha2(F.array_join(F.transform("own", lambda x: x["digest"]), ","), 256)).drop("own")
+
+
+_SINCE, _UNTIL = AS_OF - 10 * 86400, AS_OF - 5 * 86400
+
+
+@query(f"select event_type, count(*) as n, min(event_id) as first_event, max(props) as last_props from events where {_E} between {_SINCE} and {_UNTIL} group by event_type")
+def time_slice_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A slice of time as CSV with a header, read back."""
+    folder = scratch(spark)
+    table(spark, sf_dir, "events").where(epoch("ts").between(_SINCE, _UNTIL)).select("event_id", "event_type", "props").write.option("header", True).option("escape", '"').csv(f"{folder}/slice")
+    back = spark.read.schema("event_id long, event_type string, props string").option("header", True).option("escape", '"').csv(f"{folder}/slice")
+    return back.groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"), F.max("props").alias("last_props"))
+
+
+BACKED_UP = ["region", "nation", "customer", "conversations"]
+
+
+@query(" union all ".join(f"select '{n}' as table_name, count(*) as rows_before, count(*) as rows_after, true as verified, false as left_over from {n}" for n in BACKED_UP))
+def backup_and_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables dumped with a manifest, copied, verified by size and digest against it, counted before and after, and the first dump deleted."""
+    folder, out = scratch(spark), []
+    for name in BACKED_UP:
+        before = table(spark, sf_dir, name)
+        before.write.parquet(f"{folder}/dump/{name}")
+        manifest(spark, f"{folder}/dump/{name}").write.parquet(f"{folder}/manifest/{name}")
+    copied(spark, f"{folder}/dump", f"{folder}/restored")
+    deleted(spark, f"{folder}/dump")
+    left_over = deleted(spark, f"{folder}/dump")  # nothing any more
+    for name in BACKED_UP:
+        stored = manifest(spark, f"{folder}/restored/{name}").select("file", F.col("bytes").alias("found"), F.col("sha256").alias("digest"))
+        checks = spark.read.parquet(f"{folder}/manifest/{name}").join(stored, "file", "full")
+        same = F.bool_and(F.coalesce((F.col("bytes") == F.col("found")) & (F.col("sha256") == F.col("digest")), F.lit(False)))
+        rows = [d.agg(F.count("*").alias(c)) for d, c in ((table(spark, sf_dir, name), "rows_before"), (spark.read.parquet(f"{folder}/restored/{name}"), "rows_after"))]
+        out.append(rows[0].crossJoin(rows[1]).crossJoin(checks.agg(same.alias("verified"))).select(F.lit(name).alias("table_name"), "*", F.lit(left_over).alias("left_over")))  # one row each
+    return reduce(DataFrame.unionByName, out)
