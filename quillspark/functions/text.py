@@ -49,13 +49,20 @@ def cleaned(text: Column, most: int = 1_000_000) -> Column:
     return F.btrim(F.substring(F.regexp_replace(F.regexp_replace(text, CONTROL, ""), r"[ \t]+", " "), 1, most), F.lit(" \t\n\r"))
 
 
-def safe_filename(name: Column, longest: int = 100) -> Column:
-    """The last path segment with anything but letters, digits, dot, underscore and dash as underscore (ASCII names)."""
-    last = F.regexp_replace(F.regexp_replace(name, r"\\", "/"), r"^.*/", "")
-    plain = F.regexp_replace(F.regexp_replace(last, r"[^A-Za-z0-9._-]", "_"), r"\.{2,}", ".")
-    stem = F.regexp_replace(F.regexp_extract(plain, r"^(.*?)(\.[A-Za-z0-9]{1,10})?$", 1), r"^[._-]+|[._-]+$", "")
-    ext = F.lower(F.regexp_extract(plain, r"(\.[A-Za-z0-9]{1,10})$", 1))
-    whole = F.concat(F.substring(F.when(stem == "", F.lit("file")).otherwise(stem), 1, longest), ext)
+@pandas_udf(StringType())
+def decomposed(name: pd.Series) -> pd.Series:
+    """NFKD, without what can't be printed."""
+    return name.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if c.isprintable()))
+
+
+def safe_filename(name: Column, longest: int = 128) -> Column:
+    """The last path segment, decomposed, with runs of anything but ASCII letters, digits, dot, underscore and dash as underscores,
+    and of at most `longest` characters with its extension."""
+    last = decomposed(F.regexp_replace(F.regexp_replace(name, r"\\", "/"), r"(?s)^.*/", ""))
+    ext = F.lower(F.regexp_extract(last, r"(\.[A-Za-z0-9]{1,10})$", 1))
+    stem = F.regexp_replace(F.substring(last, F.lit(1), F.length(last) - F.length(ext)), r"[^A-Za-z0-9._-]", "_")
+    stem = F.regexp_replace(F.regexp_replace(stem, r"\.{2,}", "."), r"^[._-]+|[._-]+$", "")
+    whole = F.concat(F.substring(F.when(stem == "", F.lit("file")).otherwise(stem), F.lit(1), F.lit(longest) - F.length(ext)), ext)
     return F.when(F.coalesce(name, F.lit("")) == "", F.lit("attachment.bin")).otherwise(whole)
 
 

@@ -30,9 +30,9 @@ class Node:
         return "".join(c if isinstance(c, str) else "" if c.tag in without else c.text() for c in self.children)
 
     def all(self, *tags: str) -> Iterator[Node]:
-        """Elements below with one of these tags, in order."""
+        """Elements below with one of these tags (none given: all), in order."""
         for c in self.elements:
-            if c.tag in tags:
+            if not tags or c.tag in tags:
                 yield c
             yield from c.all(*tags)
 
@@ -127,12 +127,18 @@ def text_of(parts: list[dict]) -> str:
     return "\n\n".join(out).strip()
 
 
+def _tile(node: Node) -> bool:
+    named = node.attrs.get("data-testid", "")
+    return named == "file-attachment" or named.startswith("attachment") or (node.tag == "a" and "download" in node.attrs)
+
+
 def attachments_of(markup: str, conversation: str) -> list[str]:
     """Ids of a body's attachments: tiles that name a file, then images that were generated; made up where the page has none."""
     root = _Tree(markup).root
-    tiles = [(t, t.attrs.get("data-filename") or t.attrs.get("download") or plain(t.text())[:200]) for t in root.all("a", "div", "span", "button") if "data-filename" in t.attrs or "data-file-id" in t.attrs or t.attrs.get("data-testid") == "attachment"]
+    every = list(root.all())
+    tiles = [(t, t.attrs.get("data-filename") or t.attrs.get("download") or plain(t.text())[:200]) for t in every if _tile(t)]
     out = [f"dom-{conversation}-{t.attrs.get('data-file-id') or name}"[:128] for t, name in tiles if name]
-    out += [f"gen-{conversation}-{i.attrs.get('alt', 'generated-image')}"[:128] for i in root.all("img") if "data-generated" in i.attrs]
+    out += [f"gen-{conversation}-{i.attrs.get('alt', 'generated-image')}"[:128] for i in every if i.attrs.get("data-testid") == "generated-image" or (i.tag == "img" and "Generated" in i.attrs.get("alt", ""))]
     return out[:ATTACHMENTS]
 
 

@@ -12,7 +12,7 @@ from .registry import query
 _KEY = "concat(conv_id, '-', turn)"
 #: A rendered body for each turn, in SQL that both engines read.
 _HTML = """concat('<p>Turn ', turn, '  of <b>', conv_id, '</b></p><h2>', role, '</h2><ol><li>first ', turn, '</li><li>second<ul><li>inner ', conv_id, '</li></ul></li></ol><table><thead><tr><th>role</th><th>turn</th></tr></thead><tbody><tr><td>', role, '</td><td>', turn,
- '</td></tr></tbody></table><table><tr><th>a</th><td>b</td></tr><tr><td>', turn, '</td><td>&lt;x&gt;</td></tr></table><pre><code class="language-Python">x = ', turn, chr(10), chr(10), '</code></pre><blockquote>said  ', role, '</blockquote><ul><li>only</li></ul>', case when turn % 2 = 0 then concat('<div data-filename="f', turn, '.png" data-file-id="id', turn, '">f</div><img data-generated alt="a cat">') else '' end)"""
+ '</td></tr></tbody></table><table><tr><th>a</th><td>b</td></tr><tr><td>', turn, '</td><td>&lt;x&gt;</td></tr></table><pre><code class="language-Python">x = ', turn, chr(10), chr(10), '</code></pre><blockquote>said  ', role, '</blockquote><ul><li>only</li></ul>', case when turn % 2 = 0 then concat('<div data-testid="file-attachment" data-filename="f', turn, '.png" data-file-id="id', turn, '">f</div><img alt="Generated cat">') else '' end)"""
 _TEXT = """concat('Turn ', turn, ' of ', conv_id, N, role, N, '1. first ', turn, chr(10), '2. second', chr(10), '  3. inner ', conv_id, N, 'role | turn', chr(10), '--- | ---', chr(10), role, ' | ', turn, N, 'a | b', chr(10), '--- | ---', chr(10), turn, ' | <x>', N, '```python', chr(10), 'x = ', turn, chr(10), '```', N, 'said ', role, N, '- only', case when turn % 2 = 0 then concat(N, 'f') else '' end)""".replace("N", "chr(10), chr(10)")
 
 
@@ -41,7 +41,7 @@ def body_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("key", F.col("x.index").alias("part"), "x.kind", "x.language", "x.text", "x.structured")
 
 
-@query(f"select {_KEY} as key, case when turn % 2 = 0 then concat('dom-c', conv_id, '-id', turn, ',gen-c', conv_id, '-a cat') else '' end as attachments from conversations")
+@query(f"select {_KEY} as key, case when turn % 2 = 0 then concat('dom-c', conv_id, '-id', turn, ',gen-c', conv_id, '-Generated cat') else '' end as attachments from conversations")
 def body_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bodies(spark, sf_dir).select("key", F.array_join("attachments", ",").alias("attachments"))
 

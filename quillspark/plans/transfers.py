@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import objects as O
-from ..sources.files import copied, deleted, manifest
+from ..operators.numbering import numbered
+from ..sources.files import copied, deleted, exists, manifest
+from ..sources.pulls import page_events
 from ..sources.tables import epoch, table
+from ..sources.upstream import OVERLAP, Upstream
 from ..streaming.events import scratch
 from .operations import _E, AS_OF
 from .registry import query
@@ -81,3 +84,57 @@ def backup_and_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = [d.agg(F.count("*").alias(c)) for d, c in ((table(spark, sf_dir, name), "rows_before"), (spark.read.parquet(f"{folder}/restored/{name}"), "rows_after"))]
         out.append(rows[0].crossJoin(rows[1]).crossJoin(checks.agg(same.alias("verified"))).select(F.lit(name).alias("table_name"), "*", F.lit(left_over).alias("left_over")))  # one row each
     return reduce(DataFrame.unionByName, out)
+
+
+_PULL_SINCE, _PULL_UNTIL, _PULL_WINDOW, _PAGE = AS_OF - 20 * 86400, AS_OF, 5 * 86400, 100
+
+
+def served(events: DataFrame, folder: str) -> None:
+    """Events as the pages of an upstream, by window and cursor: since-cursor.json in a folder, written by the tasks that hold them."""
+    at = epoch("ts")
+    start = F.greatest(F.floor((at - _PULL_SINCE) / _PULL_WINDOW) * _PULL_WINDOW + _PULL_SINCE, F.lit(_PULL_SINCE))
+    since = F.when(start == _PULL_SINCE, start - OVERLAP).otherwise(start)
+    rows = numbered(events.withColumn("since", since).where(at.between(_PULL_SINCE - OVERLAP, _PULL_UNTIL - 1)), "since", "event_id").withColumn("page", F.floor(F.col("number") / _PAGE))
+    item = F.struct(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"), F.col("event_type").alias("type"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"), F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("conversation_id"))
+    pages = rows.groupBy("since", "page").agg(F.collect_list(item).alias("items"))  # at most _PAGE items each
+    last = rows.groupBy("since").agg(F.max("page").alias("last"))
+    body = F.to_json(F.struct("items", (F.col("page") + 1).cast("string").alias("next_cursor"), (F.col("page") < F.col("last")).alias("has_more")))
+    named = pages.join(last, "since").select(F.concat(F.col("since").cast("string"), F.lit("-"), F.when(F.col("page") > 0, F.col("page").cast("string")).otherwise(""), F.lit(".json")).alias("name"), body.alias("body"))
+
+    def put(batches):
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(folder)
+        system.create_dir(path, recursive=True)
+        for b in batches:
+            for name, text in zip(b["name"], b["body"], strict=True):
+                with system.open_output_stream(f"{path}/{name}") as f:
+                    f.write(text.encode())
+            yield b[["name"]]
+
+    named.mapInPandas(put, "name string").count()
+
+
+@query(f"""select 'e' || event_id as source_event_id, 'other' as kind, {_E} as at, 'c' || user_id as conversation_id from events where {_E} between {_PULL_SINCE - OVERLAP} and {_PULL_UNTIL - 1}""")
+def upstream_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pull in two steps. In the first, one window's second page is not there: what came before it stays, with the failure. The
+    second goes on behind the windows that are whole; events that come twice are dropped by their id."""
+    folder = scratch(spark)
+    served(table(spark, sf_dir, "events"), f"{folder}/pages")
+    spark.dataSource.register(Upstream)
+    hidden, away = f"{folder}/pages/{_PULL_SINCE + _PULL_WINDOW}-1.json", f"{folder}/away.json"
+    broken = copied(spark, hidden, away) and deleted(spark, hidden) if exists(spark, hidden) else False
+    read = lambda since: spark.read.format("upstream").options(address=f"{folder}/pages/{{since}}-{{cursor}}.json", since=since, until=_PULL_UNTIL, window=_PULL_WINDOW, overlap=OVERLAP if since == _PULL_SINCE else 0, attempts=2, pause=0.01).load()
+    read(_PULL_SINCE).write.parquet(f"{folder}/first")
+    first = spark.read.parquet(f"{folder}/first")
+    failed = first.where(F.col("error").isNotNull()).agg(F.min("window_start")).first()[0]
+    pulls = [first]
+    if failed is not None:
+        if broken:
+            copied(spark, away, hidden)
+        read(failed + (OVERLAP if failed < _PULL_SINCE else 0)).write.parquet(f"{folder}/second")
+        pulls.append(spark.read.parquet(f"{folder}/second"))
+    every = reduce(DataFrame.unionByName, pulls).where(F.col("source_event_id").isNotNull())
+    items = F.struct(F.col("source_event_id").alias("id"), "type", "created_at", "conversation_id", F.lit(None).cast("string").alias("actor"), "raw")
+    parsed = page_events(every.select(F.array(items).alias("items")))
+    return parsed.groupBy("source_event_id").agg(F.min_by(F.struct("kind", "event_time", "conversation_id"), "event_time").alias("x")).select("source_event_id", "x.kind", F.unix_seconds("x.event_time").alias("at"), "x.conversation_id")

@@ -27,3 +27,8 @@ def deleted(spark: SparkSession, name: str) -> bool:
     """Whether there was something to delete."""
     path, system = _path(spark, name)
     return system.delete(path, True)
+
+
+def exists(spark: SparkSession, name: str) -> bool:
+    path, system = _path(spark, name)
+    return system.exists(path)

@@ -109,3 +109,10 @@ def test_entry_has_rows(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_filenames_are_decomposed_and_bounded(spark):
+    cases = {"Ünïcode résumé.PDF": "U_ni_code_re_sume.pdf", "ﬁle①.txt": "file1.txt", "a\u0000b​.md": "ab.md", "x" * 300 + ".jpeg": "x" * 123 + ".jpeg", "y" * 300: "y" * 128, "a.b..c": "a.b..c", "n.tar.gz": "n.tar.gz"}
+    df = spark.createDataFrame([(k,) for k in cases], "n string")
+    got = {r.n: r.f for r in df.select("n", T.safe_filename(F.col("n")).alias("f")).collect()}
+    assert got == {**cases, "a.b..c": "a.b.c"}
