@@ -68,3 +68,15 @@ def quiet_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = F.when(F.col("at") - F.lag("at").over(by) > 21600, 1).otherwise(0)
     s = e.withColumn("new", new).withColumn("session", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     return s.groupBy("user_id", "session").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count("*").alias("n")).drop("session")
+
+
+#: A page with what must go and what may stay, and what is left of it, in SQL that both engines read.
+_HOSTILE = """concat('<h2 style="x">', role, '</h2><p onclick="x()">Turn <b>', turn, '</b> &lt;i&gt;</p><script>evil(', turn, ')</script><a href="javascript:alert(1)">bad</a><a href="https://e.org/', conv_id, '" onmouseover="y" title="t">ok</a><iframe src="z">no</iframe><svg onload="z"><p>in</p></svg><ul><li>', conv_id, '</li></ul><img src="x" onerror="y">')"""
+_SAFE = """concat('<h2>', role, '</h2><p>Turn <b>', turn, '</b> &lt;i&gt;</p><a>bad</a><a href="https://e.org/', conv_id, '" title="t">ok</a><ul><li>', conv_id, '</li></ul>')"""
+
+
+@query(f"select conv_id * 1000 + turn as page_id, {_SAFE} as safe_html, concat('https://e.org/', conv_id) as links from conversations")
+def safe_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hostile pages made from turns: the whole markup that is left, and the links."""
+    pages = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("page_id"), F.expr(_HOSTILE).alias("html"))
+    return read_pages(pages).select("page_id", "safe_html", F.array_join("links", " ").alias("links"))
