@@ -16,76 +16,109 @@ def by_content(log: DataFrame) -> DataFrame:
     return hashed(log).groupBy("conv_id", "role", "digest").agg(F.min("arrival").alias("first_arrival"), F.count("*").alias("captures"), F.max_by("seq", "arrival").alias("seq"))
 
 
-FOLDED = "conv_id long, message long, role string, source_id string, seq long, versions int, status string, captures int, identical int, reconciled int"
+#: A capture with the message and the version that it belongs to, by which layer, and what it did: new, identical or reconciled.
+RESOLVED = "conv_id long, message long, layer string, version_number int, outcome string, role string, source_id string, seq long, status string, arrival long, digest string"
 
 
 class _Conversation:
-    """Captures of one conversation in order of arrival: by source id, then fingerprint, then role and content of any version.
-    It holds its messages and the digests of their contents, not its captures."""
+    """Captures of one conversation in order of arrival: by source id, then fingerprint, then role and content of any version, of
+    which the smallest place, then the message that came first, counts. It holds its messages and the digests of their contents,
+    not its captures."""
 
     def __init__(self, conv_id: int | None):
         self.conv_id = conv_id
         self.by_source: dict[str, dict] = {}
         self.by_print: dict[str, dict] = {}
         self.by_content: dict[tuple[str, str], list[dict]] = {}
-        self.messages: list[dict] = []
 
-    def add(self, role, source_id, seq, status, arrival, digest, fingerprint) -> None:
-        source = source_id or None
+    def add(self, role, source_id, seq, status, arrival, digest, fingerprint) -> tuple:
+        source, layer = source_id or None, "source"
         known = self.by_source.get(source) if source else None
-        known = known or self.by_print.get(fingerprint)
+        if known is None:
+            known, layer = self.by_print.get(fingerprint), "fingerprint"
         if known is None and (same := self.by_content.get((role, digest))):
-            known = min(same, key=lambda m: m["seq"])
+            known, layer = min(same, key=lambda m: (m["seq"] is None, m["seq"] or 0, m["message"])), "content"
         if known is None:
-            known = {"message": arrival, "role": role, "source_id": source, "contents": {}, "status": status, "identical": 0, "reconciled": 0, "captures": 0}
-            self.messages.append(known)
-            self.by_print.setdefault(fingerprint, known)
-        if not known["source_id"] and source:
-            known["source_id"] = source
-        if known["source_id"]:
-            self.by_source.setdefault(known["source_id"], known)
+            known, layer = {"message": arrival, "role": role, "source": None, "contents": {}}, "none"
+            self.by_print[fingerprint] = known
+        if not known["source"] and source:
+            known["source"] = source
+            self.by_source[source] = known
         known["seq"] = seq
-        known["captures"] += 1
         had = known["contents"].get(digest)
         if had is None:
-            known["contents"][digest] = status
-            self.by_content.setdefault((role, digest), []).append(known)
-        elif had == "partial" and status == "complete":
-            known["contents"][digest] = "reconciled"
-            known["reconciled"] += 1
+            version, outcome = len(known["contents"]) + 1, "new"
+            known["contents"][digest] = [version, status]
+            self.by_content.setdefault((known["role"], digest), []).append(known)
         else:
-            known["identical"] += 1
-        known["status"] = "complete" if "complete" in (known["status"], status) else status
-
-    def rows(self) -> list[dict]:
-        return [{**m, "conv_id": self.conv_id, "versions": len(m["contents"])} for m in self.messages]
+            version, outcome = had[0], "reconciled" if had[1] == "partial" and status == "complete" else "identical"
+            if outcome == "reconciled":
+                had[1] = "reconciled"
+        return self.conv_id, known["message"], layer, version, outcome, known["role"], source, seq, status, arrival, digest
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows by conversation and arrival, a batch at a time; one conversation's messages are all that is held."""
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    fields = [(n, kinds[k]) for n, k in (x.split() for x in FOLDED.split(", "))]
-
-    def out(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(rows), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows[i : i + 10_000]], k) for n, k in fields], [n for n, _ in fields])
-
-    now, done = None, []
+    schema = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in RESOLVED.split(", "))])
+    now = None
     for b in batches:
+        out = []
         for conv_id, *capture in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if now is None or conv_id != now.conv_id:
-                done += now.rows() if now else []
                 now = _Conversation(conv_id)
-            now.add(*capture)
-        yield from out(done)
-        done = []
-    yield from out(now.rows() if now else [])
+            out.append(now.add(*capture))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
 
-def three_layer(admitted: DataFrame, fingerprinted: DataFrame) -> DataFrame:
-    """One row a message. Order decides identity, so each conversation is folded by itself, as Spark's sort gives its captures."""
+def resolved(fingerprinted: DataFrame) -> DataFrame:
+    """Every capture with its message. Order decides identity, so each conversation is folded by itself, as Spark's sort gives its captures."""
     columns = [F.col(c).cast("long").alias(c) if c in ("conv_id", "seq", "arrival") else c for c in ("conv_id", "role", "source_id", "seq", "status", "arrival", "digest", "fingerprint")]
-    return fingerprinted.select(*columns).repartition("conv_id").sortWithinPartitions("conv_id", "arrival").mapInArrow(_folded, FOLDED)
+    return fingerprinted.select(*columns).repartition("conv_id").sortWithinPartitions("conv_id", "arrival").mapInArrow(_folded, RESOLVED)
+
+
+def messages(captures: DataFrame) -> DataFrame:
+    """One row a message of resolved captures: its first source id, last place, versions, pointer to the version last newly inserted,
+    latest version that is complete (0: none), and its state, which stays complete once it was."""
+    new, again = F.col("outcome") == "new", F.col("outcome") == "reconciled"
+    whole = (new & (F.col("status") == "complete")) | again
+    state = F.when(F.bool_or(whole), "complete").otherwise(F.max_by("status", F.when(new, F.col("arrival"))))
+    return captures.groupBy("conv_id", "message").agg(
+        F.first("role").alias("role"),
+        F.min_by("source_id", F.when(F.col("source_id").isNotNull(), F.col("arrival"))).alias("source_id"),
+        F.max_by("seq", "arrival").alias("seq"),
+        F.max("version_number").alias("versions"),
+        F.max_by("digest", F.when(new, F.col("version_number"))).alias("current_digest"),
+        F.coalesce(F.max(F.when(whole, F.col("version_number"))), F.lit(0)).alias("latest_complete"),
+        state.alias("status"),
+        F.count("*").cast("int").alias("captures"),
+        F.count_if(F.col("outcome") == "identical").cast("int").alias("identical"),
+        F.count_if(again).cast("int").alias("reconciled"),
+    )
+
+
+def three_layer(admitted: DataFrame, fingerprinted: DataFrame) -> DataFrame:
+    """One row a message, with how many captures it took and what they did."""
+    return messages(resolved(fingerprinted)).drop("current_digest", "latest_complete")
+
+
+def message_versions(captures: DataFrame) -> DataFrame:
+    """Versions of the messages that identity resolves: one aggregate by (message, version), then the newest complete one beside it.
+
+    A version is what first brought its content; partial content that came again complete is reconciled, and a partial version
+    that did not is superseded by the newest complete one of its message (0: none)."""
+    again = F.bool_or(F.col("outcome") == "reconciled")
+    each = captures.groupBy("conv_id", "message", "version_number").agg(
+        F.first("role").alias("role"), F.first("digest").alias("digest"), F.min("arrival").alias("first_arrival"), F.count("*").alias("captures"),
+        F.when(again, "reconciled").otherwise(F.min_by("status", "arrival")).alias("version_status"),
+    )
+    newest = F.max(F.when(F.col("version_status").isin("complete", "reconciled"), F.col("version_number"))).over(Window.partitionBy("conv_id", "message"))
+    later = F.col("version_number") > 1
+    return each.select(
+        "*", (later & (F.col("role") == "user")).alias("is_edit"), (later & (F.col("role") == "assistant")).alias("is_regeneration"),
+        F.coalesce(F.when(F.col("version_status") == "partial", newest), F.lit(0)).alias("superseded_by"),
+    )
 
 
 def contents(admitted: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from ..operators import capture as C
 from ..operators import identity as I
 from ..sources.tables import epoch, table
 from .registry import query
-from .sql import EPOCH, LOG
+from .sql import EPOCH, LOG, RESOLVED
 
 SALT = "archive"
 
@@ -118,7 +118,7 @@ def identity_by_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.by_content(C.capture_log(spark, sf_dir).where("rank between 1 and 5"))
 
 
-@query()
+@query(f"{RESOLVED} select * exclude (current_digest, latest_complete) from messages")
 def identity_three_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     admitted = C.admitted(C.capture_log(spark, sf_dir)).drop("declared")
     seconds_free = C.hashed(admitted).withColumn("fingerprint", T.fingerprint(F.col("conv_id"), F.col("role"), F.col("digest"), F.col("seq"), F.lit(0)))
