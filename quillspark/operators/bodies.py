@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -27,14 +28,24 @@ class Node:
         return [c for c in self.children if isinstance(c, Node)]
 
     def text(self, without: tuple[str, ...] = ()) -> str:
-        return "".join(c if isinstance(c, str) else "" if c.tag in without else c.text() for c in self.children)
+        """The text inside, but for children with one of these tags. No recursion: pages may nest as deep as they like."""
+        out, waiting = [], [c for c in reversed(self.children) if isinstance(c, str) or c.tag not in without]
+        while waiting:
+            c = waiting.pop()
+            if isinstance(c, str):
+                out.append(c)
+            else:
+                waiting += reversed(c.children)
+        return "".join(out)
 
     def all(self, *tags: str) -> Iterator[Node]:
         """Elements below with one of these tags (none given: all), in order."""
-        for c in self.elements:
+        waiting = self.elements[::-1]
+        while waiting:
+            c = waiting.pop()
             if not tags or c.tag in tags:
                 yield c
-            yield from c.all(*tags)
+            waiting += c.elements[::-1]
 
 
 class _Tree(HTMLParser):
@@ -42,6 +53,7 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("", {})
         self.open = [self.root]
+        self.count: Counter[str] = Counter()  # of open elements, so that a stray end costs nothing
         self.feed(markup)
         self.close()
 
@@ -50,11 +62,13 @@ class _Tree(HTMLParser):
         self.open[-1].children.append(node)
         if tag not in EMPTY:
             self.open.append(node)
+            self.count[tag] += 1
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
+        while self.count[tag]:
+            last = self.open.pop().tag
+            self.count[last] -= 1
+            if last == tag:
                 break
 
     def handle_data(self, data):
@@ -65,15 +79,17 @@ def plain(text: str) -> str:
     return " ".join(text.split())
 
 
-def _items(node: Node, depth: int = 0) -> list[dict]:
-    out = []
-    for c in node.elements:
+def _items(node: Node) -> list[dict]:
+    """Items in order: an item's first inner list lies one deeper, as does a list between items."""
+    out, waiting = [], [(c, 0) for c in reversed(node.elements)]
+    while waiting:
+        c, depth = waiting.pop()
         if c.tag == "li":
             out.append({"depth": depth, "text": plain(c.text(without=("ul", "ol")))})
-            inner = next((x for x in c.elements if x.tag in ("ul", "ol")), None)
-            out += _items(inner, depth + 1) if inner else []
-        elif c.tag in ("ul", "ol"):
-            out += _items(c, depth + 1)
+            c = next((x for x in c.elements if x.tag in ("ul", "ol")), None)
+        elif c.tag not in ("ul", "ol"):
+            continue
+        waiting += [(x, depth + 1) for x in reversed(c.elements)] if c else []
     return out
 
 

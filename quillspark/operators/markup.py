@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -33,6 +34,7 @@ class Page(HTMLParser):
         self.title = ""
         self.skip, self.depth, self.open, self.kind, self.language, self.level, self.in_title = 0, 0, [], "paragraph", "", 0, False
         self.buffer: list[str] = []
+        self.count: Counter[str] = Counter()  # of open elements, so that a stray end costs nothing
         self.feed(markup)
         self.close()
         self._flush()
@@ -47,8 +49,9 @@ class Page(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag not in EMPTY:
             if len(self.open) > self.skip and self.open[-1] == ("p" if tag == "form" else tag) and self.open[-1] in SIBLINGS:
-                self.open.pop()
+                self.count[self.open.pop()] -= 1
             self.open.append(tag)
+            self.count[tag] += 1
             if tag in DROPPED and not self.skip:
                 self.skip = len(self.open)  # until this element or one around it ends
         if self.skip or tag in DROPPED:
@@ -72,8 +75,11 @@ class Page(HTMLParser):
             self.safe.append(f"<{tag}{kept}>")
 
     def handle_endtag(self, tag):
-        if tag in self.open:
-            del self.open[len(self.open) - 1 - self.open[::-1].index(tag) :]
+        if self.count[tag]:
+            last = None
+            while last != tag:
+                last = self.open.pop()
+                self.count[last] -= 1
             if len(self.open) < self.skip:
                 self.skip = 0
         if self.skip or tag in DROPPED:

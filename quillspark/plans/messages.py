@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.allowed_markup import with_sanitised
 from ..operators.bodies import read_bodies
 from ..sources.tables import table
 from .registry import query
@@ -46,6 +47,23 @@ def body_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bodies(spark, sf_dir).select("key", F.array_join("attachments", ",").alias("attachments"))
 
 
+#: What a client may send as markup, and what is stored of it; every seventh turn sends nothing.
+_SENT = """concat('<!-- note --><h2 class="t" style="x">', role, '</h2><p onclick="x()" dir="ltr">Turn <u>', turn, '</u> &amp; &lt;i&gt;</p><script>evil(', turn, ')</script><a href="java&#115;cript:alert(1)" rel="r">bad</a>
+<a href="https://e.org/', conv_id, '?a=1&amp;b=2" onmouseover="y" target="_blank">ok</a><iframe src="z">in</iframe><img src="/i', turn, '.png" alt="i" onerror="y"><img src="data:text/html,x"><svg onload="z"><dl><dt>', conv_id, '</dt></dl></svg>
+<ol start="3" value="2"><li>one<li>two</ol><pre data-language="sql"><code class="c">select 1 < 2</code></pre><table><tr><td colspan="2" width="9">vbscript:', turn, '</td></tr></table></em><b>open')"""
+_KEPT = """concat('<h2 class="t">', role, '</h2><p dir="ltr">Turn <u>', turn, '</u> &amp; &lt;i&gt;</p>evil(', turn, ')<a rel="r">bad</a>
+<a href="https://e.org/', conv_id, '?a=1&amp;b=2" target="_blank">ok</a>in<img src="/i', turn, '.png" alt="i"><img><dl><dt>', conv_id, '</dt></dl>
+<ol start="3"><li>one<li>two</li></li></ol><pre data-language="sql"><code class="c">select 1 &lt; 2</code></pre><table><tr><td colspan="2">', turn, '</td></tr></table><b>open</b>')"""
+
+
+@query(f"select {_KEY} as key, case when turn % 7 = 6 then '' else {_KEPT} end as markup from conversations")
+def stored_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole markup that is stored of each submission ('' for none)."""
+    sent = F.when(F.col("turn") % 7 != 6, F.expr(_SENT))
+    kept = with_sanitised(table(spark, sf_dir, "conversations").select(F.expr(_KEY).alias("key"), sent.alias("html")))
+    return kept.select("key", F.coalesce("sanitised", F.lit("")).alias("markup"))
+
+
 #: Submissions: each turn with one field spoilt, by a number that goes round. Column -> (sound value, {number: spoilt value}).
 FIELDS = {
     "key": ("concat('capture:', conv_id, '-', turn)", {1: "'short'", 2: "repeat('k', 129)", 3: "'bad key!!'"}),
