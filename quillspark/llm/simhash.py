@@ -24,6 +24,8 @@ SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Fingerprints of one signature that a task compares at a time.
 BLOCK = 4096
+#: Blocks of one signature beyond which its fingerprints are split by what else they share before blocks are compared.
+SPLIT = 4
 #: Signatures in a broadcast table, of two numbers each; more of them are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -143,25 +145,49 @@ def _compare(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Re
         yield from out(near(*held))
 
 
-def near_pairs(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
+def finer_signatures(keyed: DataFrame, distance: int) -> DataFrame:
+    """Rows (fp, bit, key) under the key and each of distance + 1 parts of the bits outside the key's segment: of two fingerprints at
+    most `distance` bits apart, one such part is equal. At four bits, five rows of eight or nine more bits each."""
+    parts = {low: np.array_split(np.flatnonzero(LOW != low), distance + 1) for low in {int(x) for x in LOW}}
+    masks = F.array(*[F.array(*[F.lit(_signed(sum(1 << int(x) for x in part))) for part in parts[int(low)]]) for low in LOW])
+    keys = F.transform(masks[F.col("bit")], lambda m, k: F.xxhash64("key", k, F.col("fp").bitwiseAND(m)))
+    return keyed.select("fp", "bit", F.explode(keys).alias("key"))
+
+
+def _dealt(keyed: DataFrame) -> DataFrame:
+    """Rows (fp, bit, key, blocks), where a key with blocks becomes one key for every pair of its blocks."""
+    own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, own).cast("long") * F.col("blocks") + F.greatest(x, own))
+    pairs = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)
+    return keyed.select("fp", "bit", "key", F.explode(pairs).alias("pair")).select("fp", "bit", F.when(F.col("pair") == 0, F.col("key")).otherwise(F.xxhash64("key", "pair")).alias("key"))
+
+
+def _with_blocks(keyed: DataFrame, large: DataFrame) -> tuple[DataFrame, int]:
+    """keyed with the blocks of its large keys, and the most blocks of one."""
+    n, most = large.agg(F.count("*"), F.coalesce(F.max("blocks"), F.lit(0))).first()
+    if not n:
+        return keyed.withColumn("blocks", F.lit(None).cast("int")), 0
+    return keyed.join(F.broadcast(large) if n <= BROADCAST_ROWS else large, "key", "left"), most
+
+
+def near_pairs(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK, split: int = SPLIT) -> DataFrame:
     """Links (a, b) between distinct fingerprints of table fps (fp) that make the same components as all pairs at most `distance` bits apart.
 
     A signature that more than `block` fingerprints share is cut into numbered blocks by the fingerprint's hash, and every
-    pair of its blocks is compared on its own, so no task takes more than two blocks of one signature at a time.
+    pair of its blocks is compared on its own, so no task takes more than two blocks of one signature at a time. Where that
+    would be over `split` blocks, its fingerprints first fall apart by finer signatures, and only those of these that are
+    large again are compared by blocks.
     """
     if not 0 <= distance < 2 * len(SEGMENTS):
         raise ValueError(f"{len(SEGMENTS)} segments with one wildcard find all pairs up to {2 * len(SEGMENTS) - 1} bits apart, not {distance}")
     fps = fps.select("fp").distinct()
-    large = stored(large_signatures(fps, block))
-    n = large.count()
-    keyed = signatures(fps)
-    if n:
-        keyed = keyed.join(F.broadcast(large) if n <= BROADCAST_ROWS else large, "key", "left")
-        own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")).cast("int")
-        pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, own).cast("long") * F.col("blocks") + F.greatest(x, own))
-        pairs = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)
-        keyed = keyed.select("fp", "bit", "key", F.explode(pairs).alias("pair")).select("fp", "bit", F.when(F.col("pair") == 0, F.col("key")).otherwise(F.xxhash64("key", "pair")).alias("key"))
-    ordered = keyed.select("key", "bit", "fp").repartition("key").sortWithinPartitions("key")
+    keyed, most = _with_blocks(signatures(fps), stored(large_signatures(fps, block)))
+    dealt = _dealt(keyed.where(F.coalesce("blocks", F.lit(0)) <= split)) if most else keyed
+    if most > split:
+        finer = finer_signatures(keyed.where(F.col("blocks") > split), distance)
+        again = finer.groupBy("key").count().where(F.col("count") > block).select("key", (F.ceil(F.col("count") / block) + 1).cast("int").alias("blocks"))
+        dealt = dealt.unionByName(_dealt(_with_blocks(finer, stored(again))[0]))
+    ordered = dealt.select("key", "bit", "fp").repartition("key").sortWithinPartitions("key")
     return ordered.mapInArrow(lambda batches: _compare(batches, distance), "a long, b long").distinct()
 
 

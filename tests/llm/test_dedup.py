@@ -75,6 +75,36 @@ def test_large_signatures_lose_no_link(spark):
             assert ((x.a ^ x.b) & (1 << 64) - 1).bit_count() <= 4
 
 
+@pytest.mark.parametrize("distance", [0, 1, 4, 5])
+def test_finer_signatures_keep_every_link(spark, distance):
+    """One segment is the same everywhere, so that its signatures are large and are split by the other bits."""
+    r = random.Random(9)
+    base = [0x2A5A5 | r.getrandbits(42) << 22 for _ in range(150)]
+    fps = sorted({b ^ sum(1 << x for x in r.sample(range(64), n)) for b in base for n in range(distance + 2)})
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    near = {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if (a ^ b).bit_count() <= distance}
+    found = simhash.near_pairs(df, distance, block=16, split=2)
+    got = {tuple(sorted((x.a % (1 << 64), x.b % (1 << 64)))) for x in found.collect()}
+    assert got <= near and _classes(got) == _classes(near)
+    assert simhash.large_signatures(df.distinct(), 16).agg({"blocks": "max"}).first()[0] > 2
+
+
+def _classes(links):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    groups = {}
+    for x in list(root):
+        groups.setdefault(find(x), set()).add(x)
+    return sorted(map(sorted, groups.values()))
+
+
 def test_components_of_chains_and_hubs(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(1, x) for x in range(2, 50)] + [(500, 499), (7, 7)]
     df = spark.createDataFrame(links, "a long, b long")
