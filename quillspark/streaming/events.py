@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
 from ..sources.tables import event_stream, instant
 
 LATENESS = "10 minutes"
@@ -17,13 +16,8 @@ FILE_ROWS = 1_000_000
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share: under spark.checkpoint.dir. Where that is unset, a temporary one in local mode, and an error on a cluster."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder that all executors share: under spark.checkpoint.dir."""
+    return shared_dir(spark, "stream")
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:

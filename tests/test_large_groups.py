@@ -7,8 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import packing
-from quillspark.operators import identity
+from quillspark.operators import identity, numbering
 from quillspark.plans import catalogue, operations
 
 
@@ -47,8 +46,18 @@ def test_conversations_carry_over_batches(spark, small_batches):
     assert Counter((r.conv_id, r.captures, r.identical, r.versions) for r in out.collect()) == {(1, 3, 2, 1): 40, (2, 3, 2, 1): 40}
 
 
-def test_pieces_of_one_id_are_dealt_out(spark):
-    df = spark.range(400).select(F.lit(7).cast("long").alias("doc_id"), F.lit("some words").alias("text")).unionByName(spark.range(400).select(F.lit(None).cast("long").alias("doc_id"), F.lit("other words").alias("text")))
-    rows = packing.packed(df, group=100).collect()
-    sizes = Counter(r.sequence_id >> 32 for r in rows)
-    assert len(rows) == 800 and len(sizes) == 8 and max(sizes.values()) < 200
+def test_places_of_distant_ids_are_dealt_out(spark):
+    """Ids as far apart as hashes; a group with most of the rows, and a null one."""
+    ids = F.xxhash64(F.col("id")).alias("key")
+    df = spark.range(4000).select(F.when(F.col("id") % 10 == 0, F.lit(None)).when(F.col("id") % 10 < 8, "most").otherwise("rest").alias("kind"), ids)
+    out = numbering.numbered(df, "kind", "key")
+    want = Counter()
+    for kind in ("most", "rest", None):
+        own = sorted(r.key for r in df.collect() if r.kind == kind)
+        want.update((kind, key, n) for n, key in enumerate(own))
+    assert Counter(map(tuple, out.select("kind", "key", "number").collect())) == want
+    placed = numbering.placed(df, F.desc("key"))
+    assert [r.key for r in sorted(placed.collect(), key=lambda r: r.place)] == sorted((r.key for r in df.collect()), reverse=True)
+    files = [spark.read.parquet(name).count() for name in set(placed.inputFiles())]
+    assert len(files) == 4 and max(files) < 2000  # one task's rows are a range of all
+    assert numbering.numbered(df.where("false"), "kind", "key").count() == 0
