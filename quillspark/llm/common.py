@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-from functools import cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, shared_dir, stored
+
+__all__ = ["discard", "shared_dir", "stored", "table", "texts"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,39 +17,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text (null: empty) of any table of documents; other columns are left behind."""
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-
-
-@cache
-def _own_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="quillspark-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new name in the folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary folder in local mode
-    (as in tests), and an error on a cluster, whose tasks don't share the driver's folders."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = _own_folder()
-    if "://" not in base:  # a bare path is in the session's default store, which tasks that write files must know too
-        path = spark._jvm.org.apache.hadoop.fs.Path(base)
-        base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().replace("file:/", "file:///", 1)
-    return f"{base.rstrip('/')}/quill-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """df as a table in the shared folder: cuts lineage, survives lost executors and is computed once."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that stored() made, once nothing reads it any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
