@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import objects as O
@@ -89,16 +89,20 @@ def backup_and_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PULL_SINCE, _PULL_UNTIL, _PULL_WINDOW, _PAGE = AS_OF - 20 * 86400, AS_OF, 5 * 86400, 100
 
 
-def served(events: DataFrame, folder: str) -> None:
+def _item() -> Column:
+    """An event as the upstream of upstream_pull has it."""
+    return F.struct(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"), F.col("event_type").alias("type"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"), F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("conversation_id"))
+
+
+def served(events: DataFrame, folder: str, item: Column | None = None, items: str = "items", size: int = _PAGE) -> None:
     """Events as the pages of an upstream, by window and cursor: since-cursor.json in a folder, written by the tasks that hold them."""
     at = epoch("ts")
     start = F.greatest(F.floor((at - _PULL_SINCE) / _PULL_WINDOW) * _PULL_WINDOW + _PULL_SINCE, F.lit(_PULL_SINCE))
     since = F.when(start == _PULL_SINCE, start - OVERLAP).otherwise(start)
-    rows = numbered(events.withColumn("since", since).where(at.between(_PULL_SINCE - OVERLAP, _PULL_UNTIL - 1)), "since", "event_id").withColumn("page", F.floor(F.col("number") / _PAGE))
-    item = F.struct(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"), F.col("event_type").alias("type"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"), F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("conversation_id"))
-    pages = rows.groupBy("since", "page").agg(F.collect_list(item).alias("items"))  # at most _PAGE items each
+    rows = numbered(events.withColumn("since", since).where(at.between(_PULL_SINCE - OVERLAP, _PULL_UNTIL - 1)), "since", "event_id").withColumn("page", F.floor(F.col("number") / size))
+    pages = rows.groupBy("since", "page").agg(F.collect_list(_item() if item is None else item).alias(items))  # at most `size` each
     last = rows.groupBy("since").agg(F.max("page").alias("last"))
-    body = F.to_json(F.struct("items", (F.col("page") + 1).cast("string").alias("next_cursor"), (F.col("page") < F.col("last")).alias("has_more")))
+    body = F.to_json(F.struct(items, (F.col("page") + 1).cast("string").alias("next_cursor"), (F.col("page") < F.col("last")).alias("has_more")))
     named = pages.join(last, "since").select(F.concat(F.col("since").cast("string"), F.lit("-"), F.when(F.col("page") > 0, F.col("page").cast("string")).otherwise(""), F.lit(".json")).alias("name"), body.alias("body"))
 
     def put(batches):
@@ -124,7 +128,7 @@ def upstream_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.dataSource.register(Upstream)
     hidden, away = f"{folder}/pages/{_PULL_SINCE + _PULL_WINDOW}-1.json", f"{folder}/away.json"
     broken = copied(spark, hidden, away) and deleted(spark, hidden) if exists(spark, hidden) else False
-    read = lambda since: spark.read.format("upstream").options(address=f"{folder}/pages/{{since}}-{{cursor}}.json", since=since, until=_PULL_UNTIL, window=_PULL_WINDOW, overlap=OVERLAP if since == _PULL_SINCE else 0, attempts=2, pause=0.01).load()
+    read = lambda since: spark.read.format("upstream").options(address=f"{folder}/pages/{{since}}-{{cursor}}.json", since=since, until=_PULL_UNTIL, window=_PULL_WINDOW, overlap=OVERLAP if since == _PULL_SINCE else 0, attempts=2, pause=0.01, fields='{"items": "items"}').load()
     read(_PULL_SINCE).write.parquet(f"{folder}/first")
     first = spark.read.parquet(f"{folder}/first")
     failed = first.where(F.col("error").isNotNull()).agg(F.min("window_start")).first()[0]
