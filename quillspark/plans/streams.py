@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.markup import read_pages
 from ..sources.tables import epoch, table
 from ..streaming import events as S
+from ..streaming.stability import rocks, stable
 from .registry import query
 from .sql import EPOCH
 
@@ -70,6 +71,33 @@ def quiet_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("user_id", "session").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count("*").alias("n")).drop("session")
 
 
+#: Milliseconds of a quiet time. Of the events table a user is a conversation and a type of event a message.
+QUIET = 3 * 3600 * 1000
+
+
+@query(f"""with o as (select user_id, event_id, epoch_us(ts) // 1000 as ms, event_type as identity, sha256(props) as signature, event_id % 4 = 0 as streaming, event_id % 13 = 0 as hidden from events),
+ n as (select *, lead(ms) over (partition by user_id order by ms, event_id) as next_ms from o), closed as (select max(ms) - 600001 as until from o),
+ l as (select user_id, ms + {QUIET} * k as look from n, (values (1), (2)) t(k), closed where not hidden and (next_ms is null or ms + {QUIET} * k < next_ms) and ms + {QUIET} * k <= until),
+ s as (select l.user_id, look, identity, arg_max(signature, row(ms, event_id)) as signature, arg_max(streaming, row(ms, event_id)) as streaming from l join o on o.user_id = l.user_id and not hidden and ms <= look group by all),
+ c as (select *, coalesce(signature <> lag(signature) over w, true)::int as new from s window w as (partition by user_id, identity order by look)),
+ g as (select *, sum(new) over (partition by user_id, identity order by look) as run from c), p as (select *, row_number() over (partition by user_id, identity, run order by look) as place from g),
+ r as (select user_id, identity, run, min(signature) as signature, min(look) as tracked, min(look) filter (place > 1 and not streaming) as done from p group by all),
+ x as (select *, lead(tracked) over (partition by user_id, identity order by run) as next_run from r),
+ f as (select x.user_id, x.identity, x.run, any_value(x.signature) as signature, any_value(done) as done, any_value(next_run) as next_run, min(ms) as gone from x left join (select user_id, ms from o, closed where hidden and ms <= until) h on h.user_id = x.user_id and h.ms > x.tracked group by all)
+ select user_id as conversation, identity, signature, case when done is not null and (gone is null or done < gone) then 'complete' else 'partial' end as status, case when done is not null and (gone is null or done < gone) then done else gone end as ms
+ from f where (done is not null and (gone is null or done < gone)) or (gone is not null and (next_run is null or gone < next_run))""")
+def stable_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages given out once each: complete after two looks that find the same, or partial when their conversation goes out of sight."""
+    events = S.timed(S.stream_of(spark, sf_dir))
+    seen = events.select(
+        F.col("user_id").cast("string").alias("conversation"), "at", F.unix_millis("at").alias("ms"), F.col("event_id").alias("sequence"), F.col("event_type").alias("identity"), F.sha2("props", 256).alias("signature"),
+        (F.col("event_id") % 4 == 0).alias("streaming"), (F.col("event_id") % 13 == 0).alias("hidden"),
+    )
+    with rocks(spark):
+        given = S.drained(stable(seen, QUIET))
+    return given.withColumn("conversation", F.col("conversation").cast("long"))
+
+
 #: A page with what must go and what may stay, and what is left of it, in SQL that both engines read.
 _HOSTILE = """concat('<h2 style="x">', role, '</h2><p onclick="x()">Turn <b>', turn, '</b> &lt;i&gt;</p><script>evil(', turn, ')</script><a href="javascript:alert(1)">bad</a><a href="https://e.org/', conv_id, '" onmouseover="y" title="t">ok</a><iframe src="z">no</iframe><svg onload="z"><p>in</p></svg><ul><li>', conv_id, '</li></ul><img src="x" onerror="y">')"""
 _SAFE = """concat('<h2>', role, '</h2><p>Turn <b>', turn, '</b> &lt;i&gt;</p><a>bad</a><a href="https://e.org/', conv_id, '" title="t">ok</a><ul><li>', conv_id, '</li></ul>')"""
