@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import epoch, table
+from ..operators import limits as L
+from ..sources.tables import epoch, instant, table
 from .registry import query
 from .sql import EPOCH
 
@@ -145,6 +146,28 @@ def rate_limit_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.mapInArrow(_decisions, "event_id long, user_id long, allowed boolean")
 
 
+#: Four limiters with windows that fit the events' distances: two requests a day, one an hour.
+LIMITS = L.scopes(per_minute=2, burst=1, window=86400 * L.SECOND, short=3600 * L.SECOND)
+_LIMITS = ", ".join(f"({k}, '{s.name}', {s.window}, {s.limit})" for k, s in enumerate(LIMITS))
+
+
+@query(f"""with recursive l(scope, name, span, most) as (values {_LIMITS}), h as materialized (select event_id, epoch_us(ts) as now, scope, span, most, case scope when 2 then event_id % 211 when 3 then user_id % 25 else user_id end as key from events, l),
+ n as materialized (select *, row_number() over (partition by scope, key order by now, event_id) as place from h),
+ r as (select scope, key, place, event_id, [now] as hits, true as allowed, most - 1 as remaining, 0::bigint as retry_after from n where place = 1
+  union all select n.scope, n.key, n.place, n.event_id, case when len(o.old) < most then list_append(o.old, now) else o.old end, len(o.old) < most, case when len(o.old) < most then most - 1 - len(o.old) else 0 end,
+   case when len(o.old) < most then 0 else greatest(1, (span - (now - o.old[1])) // 1000000 + 1) end
+   from r join n on n.scope = r.scope and n.key = r.key and n.place = r.place + 1, lateral (select list_filter(r.hits, lambda x: x >= n.now - n.span) as old) o)
+ select event_id as request, arg_min(allowed, k) as allowed, arg_min(remaining, k)::bigint as remaining, arg_min(retry_after, k)::bigint as retry_after, arg_min(name, k) as scope, arg_min(most, k)::bigint as "limit"
+ from (select r.*, name, most, row(allowed, case when allowed then remaining else -retry_after end, r.scope) as k from r join l using (scope)) group by event_id""")
+def rate_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strictest of four limiters' answers to each event as a request."""
+    text = lambda c: c.cast("string")
+    hits = table(spark, sf_dir, "events").select(
+        F.col("event_id").cast("long").alias("request"), F.unix_micros(instant("ts")).alias("at"), F.lit(1).alias("cost"), text(F.col("user_id")).alias("user"), text(F.col("event_id") % 211).alias("device"), text(F.col("user_id") % 25).alias("address")
+    )
+    return L.decisions(hits, LIMITS)
+
+
 @query("select c_custkey, c_name, o_orderkey, o_orderdate from customer join orders on o_custkey = c_custkey")
 def subject_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = table(spark, sf_dir, "customer")
