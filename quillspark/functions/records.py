@@ -19,10 +19,15 @@ from .text import SECRET_KEYS, scrubbed
 
 #: Keys whose values are credentials, and keys whose values are what people wrote.
 SENSITIVE_KEYS = (
-    "authorization proxy-authorization cookie set-cookie password postgres_password secret client_secret api_key apikey access_token refresh_token id_token token jwt session "
-    "aws_secret_access_key aws_access_key_id presigned_url upload_url download_url signature x-amz-signature code_verifier private_key"
-).split()
-CONTENT_KEYS = "text content message body html sanitized_html plain_text parts payload raw_payload title prompt answer".split()
+    "authorization", "proxy-authorization", "cookie", "set-cookie", "password", "postgres_password", "secret", "client_secret",
+    "api_key", "apikey", "access_token", "refresh_token", "id_token", "token", "jwt", "session",
+    "aws_secret_access_key", "aws_access_key_id", "presigned_url", "upload_url", "download_url", "signature", "x-amz-signature", "code_verifier",
+    "private_key",
+)
+CONTENT_KEYS = (
+    "text", "content", "message", "body", "html", "sanitized_html", "plain_text", "parts",
+    "payload", "raw_payload", "title", "prompt", "answer",
+)
 
 
 def scrubbed_map(fields: Column, allow_content: bool = False) -> Column:
@@ -97,12 +102,6 @@ def merged(base: Column, patch: Column) -> Column:
     return F.map_zip_with(F.coalesce(base, F.create_map().cast("map<string,string>")), F.coalesce(patch, F.create_map().cast("map<string,string>")), lambda k, x, y: F.coalesce(y, x))
 
 
-def redacted_map(fields: Column) -> Column:
-    """Values of credential-like keys masked."""
-    secret = "|".join(SECRET_KEYS)
-    return F.transform_values(fields, lambda k, v: F.when(F.lower(k).rlike(secret), F.lit("[REDACTED]")).otherwise(v))
-
-
 def audit_details(fields: Column) -> Column:
     """Without keys that carry content."""
     return F.map_filter(fields, lambda k, v: ~F.lower(k).isin("text", "content", "html", "body", *SECRET_KEYS))

@@ -15,10 +15,15 @@ from pyspark.sql import DataFrame
 from .bodies import EMPTY
 
 #: Elements and attributes that stored markup keeps, schemes of its addresses, and the longest markup read.
-ELEMENTS = set(
-    "p br hr span div strong b em i u s del ins mark sub sup h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre code kbd samp"
-    " table thead tbody tfoot tr th td caption colgroup col a img figure figcaption cite abbr time".split()
-)
+ELEMENTS = {
+    "p", "br", "hr", "span", "div", "strong", "b", "em",
+    "i", "u", "s", "del", "ins", "mark", "sub", "sup",
+    "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol",
+    "li", "dl", "dt", "dd", "blockquote", "pre", "code", "kbd",
+    "samp", "table", "thead", "tbody", "tfoot", "tr", "th", "td",
+    "caption", "colgroup", "col", "a", "img", "figure", "figcaption", "cite",
+    "abbr", "time",
+}
 EVERYWHERE = {"class", "title", "dir", "lang"}
 ATTRIBUTES = {
     "a": {"href", "rel", "target"},
