@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import base64
 import hashlib
-import hmac
 import ipaddress
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,8 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from .text import SECRET_KEYS, scrubbed
-
+from .text import SCRUBS, scrubbed
 
 #: Keys whose values are credentials, and keys whose values are what people wrote.
 SENSITIVE_KEYS = (
@@ -34,8 +32,8 @@ def scrubbed_map(fields: Column, allow_content: bool = False) -> Column:
     """Log fields: credentials and, unless allowed, content are masked by key, all else by pattern."""
 
     def one(key: Column, value: Column) -> Column:
-        out = F.when(F.lower(key).isin(SENSITIVE_KEYS), "[REDACTED]")
-        return (out if allow_content else out.when(F.lower(key).isin(CONTENT_KEYS), "[CONTENT_SUPPRESSED]")).otherwise(scrubbed(value))
+        out = F.when(F.lower(key).isin(*SENSITIVE_KEYS), "[REDACTED]")
+        return (out if allow_content else out.when(F.lower(key).isin(*CONTENT_KEYS), "[CONTENT_SUPPRESSED]")).otherwise(scrubbed(value))
 
     return F.transform_values(fields, one)
 
@@ -60,10 +58,12 @@ def config_version(document: Column) -> Column:
 
 def signature(key: str):
     """HMAC-SHA256 of a string column under a key, URL-safe base64 without padding."""
+    block = hashlib.sha256(key.encode()).digest() if len(key.encode()) > 64 else key.encode()
+    inner, outer = (F.lit(bytes(x ^ pad for x in block.ljust(64, b"\0"))) for pad in (0x36, 0x5C))
 
-    @pandas_udf(StringType())
-    def sign(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: None if t is None else base64.urlsafe_b64encode(hmac.new(key.encode(), t.encode(), hashlib.sha256).digest()).rstrip(b"=").decode())
+    def sign(text: Column) -> Column:
+        digest = F.unhex(F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(text, "UTF-8")), 256))), 256))
+        return F.rtrim(F.translate(F.base64(digest), "+/", "-_"), F.lit("="))
 
     return sign
 
@@ -102,9 +102,49 @@ def merged(base: Column, patch: Column) -> Column:
     return F.map_zip_with(F.coalesce(base, F.create_map().cast("map<string,string>")), F.coalesce(patch, F.create_map().cast("map<string,string>")), lambda k, x, y: F.coalesce(y, x))
 
 
+#: Keys that an audit row's details never carry.
+AUDIT_KEYS = ("text", "plain_text", "sanitized_html", "content", "payload", "body", "note", "title")
+
+
 def audit_details(fields: Column) -> Column:
-    """Without keys that carry content."""
-    return F.map_filter(fields, lambda k, v: ~F.lower(k).isin("text", "content", "html", "body", *SECRET_KEYS))
+    """Without keys that carry content, in any case."""
+    return F.map_filter(fields, lambda k, v: ~F.lower(k).isin(*AUDIT_KEYS))
+
+
+#: Levels of a log entry below which it is cut, and what stands there.
+DEEPEST, CUT = 6, "[TRUNCATED]"
+_SCRUBS = tuple((re.compile(pattern), mark.replace("$1", r"\1")) for pattern, mark in SCRUBS)
+
+
+def scrubbed_value(value, allow_content: bool = False, depth: int = 0):
+    """A log entry of any shape: credentials and, unless allowed, content are masked by key on every level, all other text by pattern."""
+    if depth > DEEPEST:
+        return CUT
+    if isinstance(value, str):
+        for pattern, mark in _SCRUBS:
+            value = pattern.sub(mark, value)
+        return value
+    if isinstance(value, dict):
+        masks = {**({} if allow_content else dict.fromkeys(CONTENT_KEYS, "[CONTENT_SUPPRESSED]")), **dict.fromkeys(SENSITIVE_KEYS, "[REDACTED]")}
+        return {k: masks[k.lower()] if k.lower() in masks else scrubbed_value(v, allow_content, depth + 1) for k, v in value.items()}
+    if isinstance(value, list):
+        return [scrubbed_value(v, allow_content, depth + 1) for v in value]
+    return value
+
+
+@pandas_udf(StringType())
+def scrubbed_entry(document: pd.Series) -> pd.Series:
+    """Log entries as JSON with sorted keys, scrubbed on every level and in lists; what isn't JSON is scrubbed as text."""
+
+    def one(text):
+        if text is None:
+            return None
+        try:
+            return json.dumps(scrubbed_value(json.loads(text)), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        except (ValueError, RecursionError):
+            return scrubbed_value(text)
+
+    return document.map(one)
 
 
 def allowed_url(url: Column, hosts: list[str]) -> Column:

@@ -61,7 +61,7 @@ def audit_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     fields = F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("kind"), F.col("event_type"), F.lit("text"), F.lit("said"), F.lit("token"), F.lit("abc"))
     e = _events(spark, sf_dir).select("event_id", fields.alias("fields"))
-    kept = R.audit_details(F.col("fields"))
+    kept = F.map_filter(R.audit_details(F.col("fields")), lambda k, v: ~F.lower(k).isin(*R.SENSITIVE_KEYS))  # without credentials, too
     patched = R.merged(kept, F.create_map(F.lit("user"), F.lit("0"), F.lit("note"), F.lit("new")))
     return e.select("event_id", listed(kept).alias("details"), listed(patched).alias("patched"), listed(R.scrubbed_map(F.col("fields"))).alias("logged"))
 

@@ -51,8 +51,8 @@ def test_versions(spark):
 
 def test_maps(spark):
     df = spark.createDataFrame([({"a": "1", "b": "2"}, {"b": "3", "Api_Key": "s", "Text": "t"})], "x map<string,string>, y map<string,string>")
-    [r] = df.select(R.merged(F.col("x"), F.col("y")).alias("m"), R.redacted_map(F.col("y")).alias("r"), R.audit_details(F.col("y")).alias("a")).collect()
-    assert r.m == {"a": "1", "b": "3", "Api_Key": "s", "Text": "t"} and r.r == {"b": "3", "Api_Key": "[REDACTED]", "Text": "t"} and r.a == {"b": "3"}
+    [r] = df.select(R.merged(F.col("x"), F.col("y")).alias("m"), R.audit_details(F.col("y")).alias("a")).collect()
+    assert r.m == {"a": "1", "b": "3", "Api_Key": "s", "Text": "t"} and r.a == {"b": "3", "Api_Key": "s"}
 
 
 def test_urls(spark):
@@ -110,3 +110,23 @@ def test_json_lines_are_the_same_bytes_each_time(spark, tmp_path):
     assert (one.records, one.sha256) == (2, two.sha256)
     data = (tmp_path / "x" / one.file).read_bytes()
     assert hashlib.sha256(data).hexdigest() == one.sha256 and gzip.decompress(data).decode().splitlines()[0] == '{"a": "\\u00e9", "b": 1}'
+
+
+def test_log_entries_are_scrubbed_on_every_level(spark):
+    deep = {"a": 1}
+    for _ in range(9):
+        deep = {"x": [deep]}
+    entry = {"User": {"TOKEN": "t", "list": [{"Body": "b"}, "Bearer abc.def", 5, None]}, "title": ["x"], "deep": deep, "é": True}
+    want = R.scrubbed_value(entry)
+    assert want["User"] == {"TOKEN": "[REDACTED]", "list": [{"Body": "[CONTENT_SUPPRESSED]"}, "Bearer [REDACTED]", 5, None]} and want["title"] == "[CONTENT_SUPPRESSED]"
+    assert want["deep"] == {"x": [{"x": [{"x": ["[TRUNCATED]"]}]}]}
+    assert R.scrubbed_value({"title": "Bearer x1", "session": 1}, allow_content=True) == {"title": "Bearer [REDACTED]", "session": "[REDACTED]"}
+    got = values(spark, [json.dumps(entry), "Bearer abc", None, '["eyJhbGciOiJI.eyJzdWIiOiIx.xxxxxxxxxx"]'], "string", R.scrubbed_entry)
+    assert json.loads(got[0]) == want and got[1:] == ["Bearer [REDACTED]", None, '["[REDACTED_JWT]"]']
+
+
+def test_signatures_of_long_and_short_keys(spark):
+    for key in ("k", "x" * 64, "ü" * 70):
+        texts = ["", "a", "日本語"]
+        want = [base64.urlsafe_b64encode(hmac.new(key.encode(), t.encode(), hashlib.sha256).digest()).rstrip(b"=").decode() for t in texts]
+        assert values(spark, [*texts, None], "string", R.signature(key)) == [*want, None]
