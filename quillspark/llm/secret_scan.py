@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import joined_runs
+
 #: Fixed patterns: kind -> (pattern, group whose length counts, least length), in the order in which kinds are listed.
 BASE = {
     "assign": (r"((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12),
@@ -34,7 +36,8 @@ LEAST = min(window for _, window, _ in CLASSES.values())
 ALLOWED = rf"^[0-9]+$|^[-_/+]*+{PART}(?:[-_/+]++{PART})*+[-_/+]*+$|^(?:.{{0,{LEAST - 1}}}?{SAMPLE})++.{{0,{LEAST - 1}}}$"
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
-BLOCK = 256
+#: Matches that are located, and characters that are cut, at a time.
+BLOCK, PAGE = 256, 4096
 
 
 def _quoted(pattern: str) -> str:
@@ -136,15 +139,15 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     million characters are masked whole; columns may have any names. Empty table: no rows.
     """
     whole = docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
-    merged = (
-        "aggregate(spans, cast(array() as array<struct<start:int,end:int>>), (a, x) -> "
-        "case when size(a) > 0 and x.start <= element_at(a, -1).end "
-        "then concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).start as start, greatest(element_at(a, -1).end, x.end) as end))) "
-        "else concat(a, array(struct(x.start as start, x.end as end))) end)"
-    )
-    tail = "substring(text, element_at(s, -1).end + 1)"
-    cut = f"concat(concat_ws('{mark}', transform(s, (x, i) -> substring(text, case when i = 0 then 1 else s[i - 1].end + 1 end, x.start - case when i = 0 then 0 else s[i - 1].end end))), '{mark}', {tail})"
-    clean = f"case when size(spans) = 0 then text else transform(array({merged}), s -> {cut})[0] end"
+    # What stays is taken from pages of the text, as a substring costs as much as what lies before it.
+    page = lambda at: f"coalesce(get(z.pages, {at} div {PAGE}), '')"
+    within = f"substring({page('p.start')}, p.start % {PAGE} + 1, p.end - p.start)"
+    across = f"concat(substring({page('p.start')}, p.start % {PAGE} + 1), array_join(slice(z.pages, p.start div {PAGE} + 2, p.end div {PAGE} - p.start div {PAGE} - 1), ''), substring({page('p.end')}, 1, p.end % {PAGE}))"
+    piece = f"case when p.start div {PAGE} = p.end div {PAGE} then {within} else {across} end"
+    bounds = "concat(transform(z.runs, (x, i) -> struct(case when i = 0 then 0 else z.runs[i - 1].end end as start, x.start as end)), array(struct(element_at(z.runs, -1).end as start, z.size as end)))"
+    cut = f"concat_ws('{mark}', transform({bounds}, p -> {piece}))"
+    parts = f"struct({joined_runs('spans')} as runs, regexp_extract_all(text, '(?s).{{1,{PAGE}}}', 0) as pages, length(text) as size)"
+    clean = f"case when size(spans) = 0 then text else transform(array({parts}), z -> {cut})[0] end"
     out = _with_spans(whole, "_row").withColumn("clean", F.expr(clean)).withColumn("clean", F.when(F.col("_row.text").isNotNull(), F.col("clean")))
     changed = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
     return out.select(*[changed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])

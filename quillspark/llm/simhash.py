@@ -216,12 +216,6 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTAN
     return marked.join(each, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The rows of docs, all columns, with one row of each component: of its smallest doc_id (null only where all are)."""
-    marked = stored(fingerprints(docs, size))
-    return first_of_each(docs, marked, distance=distance)
-
-
 def first_of_each(docs: DataFrame, marked: DataFrame, links: DataFrame | None = None, distance: int = DISTANCE) -> DataFrame:
     """The rows of docs with one row of each component; marked has their doc_id, t and fp, links those between values of fp."""
     each = _linked(marked, links, distance)

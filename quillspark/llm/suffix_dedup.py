@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import stored
+from .common import joined_runs, stored
 from .sampled_positions import SEGMENT, Names, marks, nodes
 
 #: Bytes of a string that counts as a repeat.
@@ -271,12 +271,7 @@ def repeated_runs(docs: DataFrame, size: int = SIZE, widths: tuple[int, ...] = W
     spans = found[0]
     for more in found[1:]:
         spans = spans.unionByName(more)
-    merge = (
-        "aggregate(s, cast(array() as array<struct<start:int,end:int>>), (a, x) -> case when size(a) > 0 and x.u <= element_at(a, -1).end "
-        "then concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).start as start, greatest(element_at(a, -1).end, x.end) as end))) "
-        "else concat(a, array(struct(x.u as start, x.end as end))) end)"
-    )
-    return stored(spans.groupBy("d", "t").agg(F.sort_array(F.collect_set(F.struct("u", "end"))).alias("s")).select("d", "t", F.expr(merge).alias("runs")))
+    return stored(spans.groupBy("d", "t").agg(F.collect_set(F.struct("u", "end")).alias("s")).select("d", "t", F.expr(joined_runs("s", "u")).alias("runs")))
 
 
 def _with_runs(docs: DataFrame, runs: DataFrame, *more: str) -> DataFrame:
@@ -316,12 +311,6 @@ def suffix_dedup(docs: DataFrame, size: int = SIZE, widths: tuple[int, ...] = WI
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, size: int = SIZE, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
-    """docs, all columns, with those bytes gone from text, and n_chars (if there) counted again. Of a character that a cut
-    splits the rest goes too. Nulls, repeats, names, long texts and an empty table as in without_passages()."""
-    return _cleaned(docs, lambda whole: repeated_runs(whole, size, widths), _cut)
-
-
 def _cut_words(data: bytes, runs: list[dict], words: int) -> bytes:
     """data without the runs, given in bytes of its words' hashes, that hold so many whole words."""
     at = [m.span() for m in WORDS.finditer(data)]

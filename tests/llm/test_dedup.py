@@ -9,9 +9,10 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quillspark.llm import components, simhash, suffix_dedup
-from quillspark.llm.common import table
+from quillspark.llm.common import joined_runs, stored, table
 from quillspark.llm.sampled_positions import Names, marks, nodes
 
 from .helpers import empty, odd, odd_rows
@@ -114,7 +115,7 @@ def test_components_of_chains_and_hubs(spark):
 
 
 def test_one_of_each_keeps_one_row_a_component(spark):
-    kept = simhash.one_of_each(odd(spark)).collect()
+    kept = simhash.first_of_each(odd(spark), stored(simhash.fingerprints(odd(spark)))).collect()
     assert set(kept[0].asDict()) == set(odd(spark).columns)
     prints = [(r[0], fingerprint(r[1])) for r in odd_rows()]
     assert len(kept) == len({f for _, f in prints})  # no two different texts here are near
@@ -173,15 +174,6 @@ def test_suffix_dedup_odd_rows(spark):
     got = Counter(tuple(r)[1:] for r in suffix_dedup.suffix_dedup(odd(spark)).collect())
     assert got == Counter(removed([r[1] for r in odd_rows()], 400))
     assert suffix_dedup.suffix_dedup(empty(spark)).count() == 0
-    kept = suffix_dedup.without_repeats(odd(spark))
-    assert kept.columns == odd(spark).columns and kept.count() == len(odd_rows())
-    assert kept.where("doc_id = 2 and text is null").count() == 1 and kept.where("doc_id = 8").first().text == ""
-
-
-def test_cuts_inside_a_character_leave_valid_text(spark):
-    shared = "é" * 250
-    df = spark.createDataFrame([(1, "x" + shared + "yz"), (2, "q" + shared + "é")], "doc_id long, text string")
-    assert all("�" not in r.text for r in suffix_dedup.without_repeats(df).collect())
 
 
 @settings(max_examples=40, deadline=None)
@@ -208,3 +200,20 @@ def test_long_texts_are_taken_in_segments(spark, monkeypatch):
     texts = [a, "".join(r.choice("abcdef") for _ in range(1700)) + a[600:1900], "short"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [tuple(x)[1:] for x in sorted(suffix_dedup.suffix_dedup(df).collect())] == removed(texts, 400)
+
+
+def test_runs_of_spans_are_joined(spark):
+    r = random.Random(4)
+    rows = [[], [(0, 5)], [(0, 5), (5, 6), (7, 9)]] + [sorted((a, a + r.randrange(1, 9)) for a in r.choices(range(60), k=r.randrange(1, 30))) for _ in range(40)]
+
+    def joined(spans):
+        runs = []
+        for a, z in spans:
+            if runs and a <= runs[-1][1]:
+                runs[-1] = runs[-1][0], max(runs[-1][1], z)
+            else:
+                runs.append((a, z))
+        return runs
+
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, s array<struct<u:int,end:int>>")
+    assert [[tuple(x) for x in r.x] for r in df.select("i", F.expr(joined_runs("s", "u")).alias("x")).orderBy("i").collect()] == [joined(x) for x in rows]

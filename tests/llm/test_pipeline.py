@@ -83,12 +83,12 @@ def test_stages_take_odd_rows_clashing_names_and_empty_tables(spark):
     rows = [(*r, "x") for r in odd_rows()]
     names = COLUMNS + ", _none string"
     docs, none = spark.createDataFrame(rows, names).repartition(3), spark.createDataFrame([], names)
-    for stage in (quality.kept_documents, similar.one_of_similar, suffix_dedup.without_passages, suffix_dedup.without_repeats, secret_scan.redacted):
+    for stage in (quality.kept_documents, similar.one_of_similar, suffix_dedup.without_passages, secret_scan.redacted):
         out = stage(docs)
         assert out.columns == docs.columns and 0 < out.count() <= len(rows)
         assert out.where("_none <> 'x' or lang <> 'en'").count() == 0
         assert stage(none).columns == docs.columns and stage(none).count() == 0
-    for stage in (suffix_dedup.without_passages, suffix_dedup.without_repeats, secret_scan.redacted):
+    for stage in (suffix_dedup.without_passages, secret_scan.redacted):
         assert Counter(r.doc_id for r in stage(docs).select("doc_id").collect()) == Counter(r[0] for r in rows)
         assert stage(docs).where("doc_id = 2 and text is null").count() == 1
     assert packing.packed(none).count() == 0
