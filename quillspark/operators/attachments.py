@@ -47,12 +47,12 @@ def announced(rows: DataFrame, most_bytes: int) -> DataFrame:
     return rows.withColumns({"refused": code, "duplicate": code.isNull() & kept, "state": state})
 
 
-def _step(rows: DataFrame, rules: list[tuple[Column, str | None, str | None]], applies: Column) -> DataFrame:
+def _step(rows: DataFrame, rules: list[tuple[Column, str | None, str | Column | None]], applies: Column) -> DataFrame:
     """Of rows that a transition applies to, the first rule (condition, state, reason) that holds sets both; no state leaves it."""
     state, reason = F.when(~applies, F.col("state")), F.when(~applies, F.col("reason"))
     for condition, to, why in rules:
         holds = F.coalesce(condition, F.lit(False))
-        state, reason = state.when(holds, F.col("state") if to is None else F.lit(to)), reason.when(holds, F.lit(why))
+        state, reason = state.when(holds, F.col("state") if to is None else F.lit(to)), reason.when(holds, why if isinstance(why, Column) else F.lit(why))
     return rows.withColumn("_state", state).withColumn("reason", reason).withColumn("state", F.col("_state")).drop("_state")
 
 
@@ -93,7 +93,7 @@ def finalised(rows: DataFrame) -> DataFrame:
         (F.octet_length("data") != F.col("byte_size"), "rejected", "stored size does not match declared size"),
         (F.sha2("data", 256) != F.col("sha256"), "rejected", "sha256 mismatch between declared and stored bytes"),
         (F.col("detected").isNull(), "rejected", "content does not match any allowed file type"),
-        ((F.col("detected") != F.col("mime")) & ~office, "rejected", "declared type does not match content"),
+        ((F.col("detected") != F.col("mime")) & ~office, "rejected", F.concat(F.lit("declared type "), F.col("mime"), F.lit(" does not match content"))),
         (F.lit(True), "clean", None),
     ]
     return _step(rows, rules, F.coalesce((F.col("state") == "quarantine") & F.col("data").isNotNull(), F.lit(False)))

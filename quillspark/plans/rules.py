@@ -62,7 +62,7 @@ _IS = lambda h: f"starts_with(head, '{h}')"
    when {_IS('255044462D')} then 'application/pdf' when {_IS('504B0304')} then '{A.DOCUMENT}' when mime in ('text/plain', 'text/csv') then mime end as kind from c),
  z as (select *, case when s1 is distinct from 'quarantine' then s1 when longer then 'rejected' when other then 'rejected' when kind is null then 'rejected' when kind <> mime and mime <> '{A.SHEET}' then 'rejected' else 'clean' end as s2,
   case when s1 is distinct from 'quarantine' then r1 when longer then 'stored size does not match declared size' when other then 'sha256 mismatch between declared and stored bytes' when kind is null then 'content does not match any allowed file type'
-   when kind <> mime and mime <> '{A.SHEET}' then 'declared type does not match content' else '' end as r2 from k)
+   when kind <> mime and mime <> '{A.SHEET}' then 'declared type ' || mime || ' does not match content' else '' end as r2 from k)
  select doc_id, coalesce(refused, '') as refused, refused is null and done as duplicate, coalesce(s0, 'none') as announced, coalesce(s1, 'none') as completed, case when s2 = 'pending' and expires_at < {_NOW} + 0 - 3600 then 'expired' else coalesce(s2, 'none') end as state,
   case when s2 = 'pending' and expires_at < {_NOW} + 0 - 3600 then 'never uploaded before the presigned URL expired' else r2 end as reason from z"""
 )
