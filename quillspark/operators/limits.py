@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import placed
+
 SECOND = 1_000_000
 #: Windows of a slice of time in which a key's gaps are looked for at once.
 SLICE = 256
@@ -109,3 +111,29 @@ def decisions(hits: DataFrame, limiters: tuple[Scope, ...], slice_windows: int =
     named = lambda pick: reduce(lambda c, k: c.when(F.col("x.scope") == k, pick(limiters[k])), range(1, len(limiters)), F.when(F.col("x.scope") == 0, pick(limiters[0])))
     all_ = hits.select("request").join(worst, "request", "left")
     return all_.select("request", F.coalesce("x.allowed", F.lit(True)).alias("allowed"), "x.remaining", "x.retry_after", named(lambda s: F.lit(s.name)).alias("scope"), named(lambda s: F.lit(s.limit).cast("long")).alias("limit"))
+
+
+#: Keys that a limiter's state may hold, and slices of its window in which they are counted when it holds more.
+MOST_KEYS, SLICES = 100_000, 4096
+
+
+def pruned(state: DataFrame, now: int, window: int, most: int = MOST_KEYS, slices: int = SLICES) -> DataFrame:
+    """Rows of state (key, last: the time of its last request in microseconds) that are kept: none that is idle for longer than the
+    window, and, where more than `most` are left, not the colder half of them (rounded down). Of equal times smaller keys are colder.
+
+    Counts by slices of the window tell in which slice the half ends; only that slice's rows are put in order. A last that is null
+    is idle; a key occurs once.
+    """
+    live = state.where(F.col("last") >= now - window).withColumn("_slice", F.least(F.floor((F.col("last") - (now - window)) * slices / (window + 1)), F.lit(slices)).cast("int"))
+    counts = sorted(tuple(r) for r in live.groupBy("_slice").agg(F.count("*").alias("n")).collect())  # a row a slice
+    total = sum(n for _, n in counts)
+    if total <= most:
+        return live.drop("_slice")
+    gone, at, before = total // 2, None, 0
+    for at, n in counts:
+        if before + n > gone:
+            break
+        before += n
+    warmer = live.where(F.col("_slice") > at).drop("_slice")
+    edge = placed(live.where(F.col("_slice") == at), "last", "key", name="_place")
+    return warmer.unionByName(edge.where(F.col("_place") >= gone - before).drop("_place", "_slice"))

@@ -168,6 +168,18 @@ def rate_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.decisions(hits, LIMITS)
 
 
+_IDLE, _HELD = 2 * 86400 * L.SECOND, 40
+
+
+@query(f"""with k as (select key, max(epoch_us(ts)) as last from (select 'u:' || user_id as key, ts from events union all select 'd:' || event_id % 211, ts from events) group by key),
+ l as (select *, row_number() over (order by last, key) as place, count(*) over () as n from k where last >= {AS_OF * L.SECOND} - {_IDLE}) select key, last from l where n <= {_HELD} or place > n // 2""")
+def limiter_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which keys a limiter still holds: of users and devices seen in the last days the warmer half, as they are too many."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(instant("ts")).alias("at"))
+    keys = F.array(F.concat(F.lit("u:"), F.col("user_id").cast("string")), F.concat(F.lit("d:"), (F.col("event_id") % 211).cast("string")))
+    return L.pruned(e.select(F.explode(keys).alias("key"), "at").groupBy("key").agg(F.max("at").alias("last")), AS_OF * L.SECOND, _IDLE, _HELD)
+
+
 @query("select c_custkey, c_name, o_orderkey, o_orderdate from customer join orders on o_custkey = c_custkey")
 def subject_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = table(spark, sf_dir, "customer")

@@ -65,3 +65,13 @@ def test_budgets_are_shared_by_processes():
 
 def test_no_requests(spark):
     assert L.decisions(spark.createDataFrame([], HITS), L.scopes(2, 1)).count() == 0
+
+
+@pytest.mark.parametrize(("most", "slices"), [(5, 3), (5, 4096), (150, 7), (1000, 7)])
+def test_the_colder_half_is_dropped(spark, most, slices):
+    rng = random.Random(most)
+    rows = [(f"k{k}", rng.choice([None, 0, 39, 40, 41, *range(90, 100), 100])) for k in range(200)]
+    live = sorted((last, key) for key, last in rows if last is not None and last >= 40)
+    want = live if len(live) <= most else live[len(live) // 2 :]
+    got = L.pruned(spark.createDataFrame(rows, "key string, last long"), 100, 60, most, slices).collect()
+    assert sorted((r["last"], r.key) for r in got) == want
