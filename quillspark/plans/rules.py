@@ -106,3 +106,19 @@ def declared_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = used.groupBy("lang").agg(F.collect_list(F.get(own, F.col("k").cast("int"))).alias("x"))
     found = lists.withColumn("e", F.array_sort(F.array_distinct(F.flatten("x")))).where(F.size("e") > 0)
     return found.select("lang", F.array_join("e", ",").alias("extensions"))
+
+
+#: Seconds for which a fetched configuration is used.
+TTL = 15 * 60
+
+
+@query(f"""with c as (select event_id, {_NOW} + event_id % 50 - 25 as expires_at, case when event_id % 7 <> 0 then {_NOW} - event_id % 40 * 60 end as fetched_at, event_id % 11 = 0 as missing, event_id % 13 = 0 as unreadable from events)
+ select event_id, missing or unreadable or expires_at <= {_NOW} or coalesce(fetched_at, 0) + {TTL} < {_NOW} as stale, case when missing then 'none' else 'cache' end as source from c""")
+def config_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a cached configuration may still be used: it is neither expired, nor fetched too long ago, nor without a time that can be read."""
+    at = F.timestamp_seconds(F.lit(_NOW) + F.col("event_id") % 50 - 25)
+    expires = F.when(F.col("event_id") % 13 == 0, "soon").otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    c = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 11 != 0, expires).alias("expires_at"), F.when(F.col("event_id") % 7 != 0, F.lit(_NOW) - F.col("event_id") % 40 * 60).alias("fetched_at"))
+    gone = F.coalesce(F.unix_seconds(R.parsed_time(F.col("expires_at"))) <= _NOW, F.lit(True))
+    old = F.coalesce("fetched_at", F.lit(0)) + TTL < _NOW
+    return c.select("event_id", (F.col("expires_at").isNull() | gone | old).alias("stale"), F.when(F.col("expires_at").isNull(), "none").otherwise("cache").alias("source"))

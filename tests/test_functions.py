@@ -130,3 +130,12 @@ def test_signatures_of_long_and_short_keys(spark):
         texts = ["", "a", "日本語"]
         want = [base64.urlsafe_b64encode(hmac.new(key.encode(), t.encode(), hashlib.sha256).digest()).rstrip(b"=").decode() for t in texts]
         assert values(spark, [*texts, None], "string", R.signature(key)) == [*want, None]
+
+
+def test_reads_stop_at_the_limit(spark, tmp_path):
+    sizes = {"small": 99, "limit": 100, "over": 101, "large": 3_000_000}
+    for name, n in sizes.items():
+        (tmp_path / name).write_bytes(bytes(range(256)) * (n // 256) + bytes(n % 256))
+    got = {r.path.rpartition("/")[2]: r for r in pulls.bounded(spark, f"file://{tmp_path}", 100).collect()}
+    assert {k: (r.length, r.bytes_read, r.too_large) for k, r in got.items()} == {k: (n, min(n, 101), n > 100) for k, n in sizes.items()}
+    assert {k: None if r.data is None else len(r.data) for k, r in got.items()} == {"small": 99, "limit": 100, "over": None, "large": None}
