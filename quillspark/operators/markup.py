@@ -20,7 +20,6 @@ VOID = {"br", "img", "hr", "meta", "link", "input"}
 #: Elements that never have an end tag, and those that a sibling of the same name ends.
 EMPTY = VOID | {"area", "base", "col", "embed", "param", "source", "track", "wbr"}
 SIBLINGS = {"p", "li", "td", "th", "tr", "option"}
-PART = "struct<index:int,kind:string,language:string,text:string,level:int>"
 
 
 class Page(HTMLParser):
@@ -120,18 +119,14 @@ def parts_to_text(parts: list[dict]) -> str:
     return "\n".join(out)
 
 
-def read_pages(pages: DataFrame, most_parts: int = 500, most_links: int = 100) -> DataFrame:
-    """page_id, title, parts, text, safe_html, links of each page. Null markup: no parts and empty strings."""
-    schema = f"page_id long, title string, parts array<{PART}>, text string, safe_html string, links array<string>"
-    part = pa.struct([("index", pa.int32()), ("kind", pa.string()), ("language", pa.string()), ("text", pa.string()), ("level", pa.int32())])
+def strict_markup(pages: DataFrame, most_links: int = 100) -> DataFrame:
+    """page_id, safe_html (fewer elements than stored markup keeps; scripts and the like go with their content), links of each page.
+    Null markup: '' and none."""
+    schema = "page_id long, safe_html string, links array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = [Page(x or "") for x in b.column(1).to_pylist()]
-            columns = [
-                b.column(0), pa.array([x.title.strip() for x in own], pa.string()), pa.array([x.parts[:most_parts] for x in own], pa.list_(part)), pa.array([parts_to_text(x.parts) for x in own], pa.string()),
-                pa.array(["".join(x.safe) for x in own], pa.string()), pa.array([[u for u, _ in x.links[:most_links]] for x in own], pa.list_(pa.string())),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["page_id", "title", "parts", "text", "safe_html", "links"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(["".join(x.safe) for x in own], pa.string()), pa.array([[u for u, _ in x.links[:most_links]] for x in own], pa.list_(pa.string()))], ["page_id", "safe_html", "links"])
 
     return pages.select("page_id", "html").mapInArrow(run, schema)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.markup import read_pages
+from ..operators.bodies import read_pages
+from ..operators.markup import strict_markup
 from ..sources.tables import epoch, table
 from ..streaming import events as S
 from ..streaming.stability import rocks, stable
@@ -15,13 +16,22 @@ from .sql import EPOCH
 _E = EPOCH.format("ts")
 
 
-@query()
+#: The given pages' blocks, in SQL: a menu, a notice, an article's heading and paragraphs (some never closed), a footer.
+_PLAIN = lambda x: f"""trim(regexp_replace(replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace({x}, '<[^>]*>', '', 'g'), '&copy;', '\xa9'), '&middot;', '\xb7'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '\x01', 'g'), '\x01', '&'), '\\s+', ' ', 'g'))"""
+_BLOCKS = f"""p as (select page_id, unnest(string_split(regexp_replace(regexp_replace(regexp_replace(html, '(?s)^.*?<body>', ''), '(?s)<!--.*?-->', '', 'g'), '<(ul|div class="ad"|h1|p|footer)>', '\x02<\\1>', 'g'), '\x02')) as b, generate_subscripts(string_split(regexp_replace(regexp_replace(regexp_replace(html, '(?s)^.*?<body>', ''), '(?s)<!--.*?-->', '', 'g'), '<(ul|div class="ad"|h1|p|footer)>', '\x02<\\1>', 'g'), '\x02'), 1) as k from pages),
+ t as (select page_id, k, case when starts_with(b, '<ul>') then 'list' when starts_with(b, '<h1>') then 'heading' else 'text' end as kind, {_PLAIN("b")} as text, list_transform(regexp_extract_all(b, '(?s)<li>(.*?)</li>', 1), lambda i: {_PLAIN("i")}) as items from p),
+ n as (select *, cast(row_number() over (partition by page_id order by k) - 1 as int) as i from t where text <> '')"""
+
+
+@query(f"""with {_BLOCKS} select page_id, i as "index", kind, '' as language, case kind when 'heading' then '{{"level":1}}' when 'list' then '{{"items":[' || array_to_string(list_transform(items, lambda x: '{{"depth":0,"text":' || to_json(x) || '}}'), ',') || '],"ordered":false}}' else '{{}}' end as structured, sha256(text) as text_sha256 from n""")
 def html_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read_pages(table(spark, sf_dir, "pages"))
-    return p.select("page_id", F.explode("parts").alias("x")).select("page_id", "x.index", "x.kind", "x.language", "x.level", F.sha2("x.text", 256).alias("text_sha256"))
+    """The blocks of whole pages; a list or a table is one with its structure."""
+    p = read_pages(table(spark, sf_dir, "pages")).select("page_id", F.explode("parts").alias("x"))
+    return p.select("page_id", "x.index", "x.kind", "x.language", "x.structured", F.sha2("x.text", 256).alias("text_sha256"))
 
 
-@query()
+@query(f"""with {_BLOCKS}, w as (select page_id, string_agg(case kind when 'list' then '- ' || array_to_string(items, E'\n- ') else text end, E'\n\n' order by i) as text from n group by page_id)
+ select page_id, cast(length(coalesce(text, '')) as int) as chars, sha256(coalesce(text, '')) as text_sha256 from pages left join w using (page_id)""")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_pages(table(spark, sf_dir, "pages")).select("page_id", F.length("text").alias("chars"), F.sha2("text", 256).alias("text_sha256"))
 
@@ -29,12 +39,13 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select page_id, 0 as scripts, 0 as handlers from pages")
 def sanitize_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What must never be left in safe markup, counted."""
-    p = read_pages(table(spark, sf_dir, "pages"))
+    p = strict_markup(table(spark, sf_dir, "pages"))
     return p.select("page_id", F.regexp_count("safe_html", F.lit("(?i)<script|<iframe|javascript:")).alias("scripts"), F.regexp_count("safe_html", F.lit(r"(?i)<[^>]*\son[a-z]+\s*=")).alias("handlers"))
 
 
-@query()
+@query(f"""select page_id, {_PLAIN("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} as title, cast(len(u) as int) as links, array_to_string(u, ' ') as urls from (select page_id, html, regexp_extract_all(html, '<a [^>]*href="(https?:[^"]*)"', 1) as u from pages)""")
 def html_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles, and links that leave the page's site or name it in full."""
     p = read_pages(table(spark, sf_dir, "pages"))
     return p.select("page_id", "title", F.size("links").alias("links"), F.array_join("links", " ").alias("urls"))
 
@@ -107,4 +118,4 @@ _SAFE = """concat('<h2>', role, '</h2><p>Turn <b>', turn, '</b> &lt;i&gt;</p><a>
 def safe_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hostile pages made from turns: the whole markup that is left, and the links."""
     pages = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("page_id"), F.expr(_HOSTILE).alias("html"))
-    return read_pages(pages).select("page_id", "safe_html", F.array_join("links", " ").alias("links"))
+    return strict_markup(pages).select("page_id", "safe_html", F.array_join("links", " ").alias("links"))
