@@ -12,7 +12,7 @@ from ..operators.numbering import numbered
 from ..sources.files import copied, deleted, exists, manifest
 from ..sources.pulls import page_events
 from ..sources.tables import epoch, table
-from ..sources.upstream import OVERLAP, Upstream
+from ..sources.upstream import OVERLAP, Upstream, pulled
 from ..streaming.events import scratch
 from .operations import _E, AS_OF
 from .registry import query
@@ -121,23 +121,21 @@ def served(events: DataFrame, folder: str, item: Column | None = None, items: st
 
 @query(f"""select 'e' || event_id as source_event_id, 'other' as kind, {_E} as at, 'c' || user_id as conversation_id from events where {_E} between {_PULL_SINCE - OVERLAP} and {_PULL_UNTIL - 1}""")
 def upstream_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A pull in two steps. In the first, one window's second page is not there: what came before it stays, with the failure. The
-    second goes on behind the windows that are whole; events that come twice are dropped by their id."""
+    """A pull in two steps, each in as many reads as the cap on pages makes of it. In the first, one window's second page is not there: what
+    came before it stays, with the failure. The second goes on behind the windows that are whole; events that come twice are dropped by their id."""
     folder = scratch(spark)
     served(table(spark, sf_dir, "events"), f"{folder}/pages")
     spark.dataSource.register(Upstream)
     hidden, away = f"{folder}/pages/{_PULL_SINCE + _PULL_WINDOW}-1.json", f"{folder}/away.json"
     broken = copied(spark, hidden, away) and deleted(spark, hidden) if exists(spark, hidden) else False
-    read = lambda since: spark.read.format("upstream").options(address=f"{folder}/pages/{{since}}-{{cursor}}.json", since=since, until=_PULL_UNTIL, window=_PULL_WINDOW, overlap=OVERLAP if since == _PULL_SINCE else 0, attempts=2, pause=0.01, fields='{"items": "items"}').load()
-    read(_PULL_SINCE).write.parquet(f"{folder}/first")
-    first = spark.read.parquet(f"{folder}/first")
+    read = lambda since, name: pulled(spark, f"{folder}/{name}", address=f"{folder}/pages/{{since}}-{{cursor}}.json", since=since, until=_PULL_UNTIL, window=_PULL_WINDOW, overlap=OVERLAP if since == _PULL_SINCE else 0, attempts=2, pause=0.01, fields='{"items": "items"}')
+    first = read(_PULL_SINCE, "first")
     failed = first.where(F.col("error").isNotNull()).agg(F.min("window_start")).first()[0]
     pulls = [first]
     if failed is not None:
         if broken:
             copied(spark, away, hidden)
-        read(failed + (OVERLAP if failed < _PULL_SINCE else 0)).write.parquet(f"{folder}/second")
-        pulls.append(spark.read.parquet(f"{folder}/second"))
+        pulls.append(read(failed + (OVERLAP if failed < _PULL_SINCE else 0), "second"))
     every = reduce(DataFrame.unionByName, pulls).where(F.col("source_event_id").isNotNull())
     items = F.struct(F.col("source_event_id").alias("id"), "type", "created_at", "conversation_id", F.lit(None).cast("string").alias("actor"), "raw")
     parsed = page_events(every.select(F.array(items).alias("items")))

@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 from urllib.parse import urlencode
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Attempts at a page, and events of a page and pages of a window at most, unless options say otherwise.
@@ -90,7 +91,7 @@ def fields_of(options: dict) -> dict[str, str]:
 
 def dug(document, path: str):
     """The value at a dotted path, or None."""
-    for part in path.split("."):
+    for part in path.split(".") if "." in path else (path,):
         document = document.get(part) if isinstance(document, dict) else None
     return document
 
@@ -140,7 +141,7 @@ class Walk:
 
     def __iter__(self) -> Iterator[tuple]:
         o, lane, fields = self.options, self.lane, fields_of(self.options)
-        for _ in range(int(o.get("pages", PAGES))):
+        for _ in range(max(1, int(o.get("pages", PAGES)))):
             if lane.stop is not None and self.cursor == lane.stop and self.page > lane.page:
                 return
             asked = {"since": lane.start, "until": lane.end, "limit": int(o.get("limit", LIMIT)), "cursor": self.cursor}
@@ -186,6 +187,20 @@ class UpstreamReader(DataSourceReader):
             yield *(None,) * 9, partition.start, partition.end, walk.page, walk.cursor, walk.left
 
 
+def pulled(spark: SparkSession, folder: str, **options) -> DataFrame:
+    """What the batch source has of its windows, whole but for failures: windows that the cap on pages cut off go on from their cursors,
+    in as many pulls as that takes. Each pull is kept in the folder; only windows that are left, a row each, pass the driver."""
+    parts: list[str] = []
+    left: list[list] = []
+    while left or not parts:
+        lanes = {"lanes": json.dumps(left)} if left else {}
+        parts.append(f"{folder}/{len(parts)}")
+        spark.read.format(Upstream.name()).options(**options, **lanes).load().write.parquet(parts[-1])
+        cut = spark.read.schema(EVENT).parquet(parts[-1]).where(f"error = '{CAPPED}'")
+        left = [list(r) for r in cut.select("window_start", "window_end", "cursor", "page").collect()]
+    return spark.read.schema(EVENT).parquet(*parts).where(f"error is null or error <> '{CAPPED}'")
+
+
 def windows(since: int, until: int, width: int, overlap: int) -> list[Lane]:
     starts = list(range(since, until, width)) or [since]
     return [Lane(s - overlap if s == since else s, min(s + width, until)) for s in starts]

@@ -222,3 +222,15 @@ def test_stream_restarts_from_its_checkpoint(spark, tmp_path):
     assert run({"processingTime": "0 seconds"}) == 60
     got = polling.admitted_events(spark.read.parquet(f"file://{tmp_path}/rows")).collect()
     assert len(got) == 60 and {r.kind for r in got} == {"message"}
+
+
+def test_a_batch_pull_goes_on_behind_its_cap(spark, tmp_path):
+    spark.dataSource.register(Upstream)
+    pages = Pages(tmp_path / "up")
+    options = {k: v for k, v in pages.options("").items() if k != "state"}
+    rows = upstream.pulled(spark, f"file://{tmp_path}/rows", **options).collect()  # 7 pages a window, 2 a pull
+    assert sorted(r.source_event_id for r in rows) == sorted(f"e{i}" for i in range(0, 300, 5)) and not any(r.error for r in rows)
+    (pages.folder / "100-k9.json").unlink()
+    rows = upstream.pulled(spark, f"file://{tmp_path}/again", **options).collect()
+    assert [(r.window_start, r.page, r.cursor) for r in rows if r.error] == [(100, 3, "k9")]
+    assert sorted(r.source_event_id for r in rows if not r.error) == sorted(f"e{i}" for i in [*range(0, 145, 5), *range(200, 300, 5)])
