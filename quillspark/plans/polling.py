@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.polling import admitted_events, cursors
 from ..sources.tables import table
 from ..sources.upstream import OVERLAP, Upstream
+from ..sources.upstream import PAGES as MOST_PAGES
 from ..streaming.events import scratch
 from .operations import _E
 from .registry import query
@@ -35,12 +36,12 @@ def _item():
  secs as at, 'c' || user_id as conversation_id, case when event_id % 2 = 0 then 'm' || event_id end as message_id, 'w' || user_id as workspace_id, 'u' || user_id as actor, event_id % 11 = 0 or event_id % 7 = 3 as is_deletion,
  cast(ceil(n / {SIZE}) as bigint) as pages, cast(n as bigint) as events from s join w using (since)""")
 def upstream_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A pull in cycles of at most PAGES pages a window: the first in a run of its own, the others by another run that goes on from
-    its checkpoint and cursors. With each event stands what its window's cursor has seen."""
+    """A pull in cycles, the first of at most PAGES pages a window, and twice as many in each where there are more: the first in a run of its
+    own, the others by another run that goes on from its checkpoint and cursors. With each event stands what its window's cursor has seen."""
     folder = scratch(spark)
     served(table(spark, sf_dir, "events"), f"{folder}/pages", _item(), "data", SIZE)
     spark.dataSource.register(Upstream)
-    options = {"address": f"{folder}/pages/{{since}}-{{cursor}}.json", "since": _PULL_SINCE, "until": _PULL_UNTIL, "window": _PULL_WINDOW, "overlap": OVERLAP, "pages": PAGES, "attempts": 2, "pause": 0.01, "state": f"{folder}/cursors"}
+    options = {"address": f"{folder}/pages/{{since}}-{{cursor}}.json", "since": _PULL_SINCE, "until": _PULL_UNTIL, "window": _PULL_WINDOW, "overlap": OVERLAP, "pages": PAGES, "most_pages": MOST_PAGES, "attempts": 2, "pause": 0.01, "state": f"{folder}/cursors"}
     for trigger in ({"availableNow": True}, {"processingTime": "0 seconds"}):
         stream = spark.readStream.format("upstream").options(**options).load()
         running = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/check").trigger(**trigger).start()

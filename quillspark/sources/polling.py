@@ -4,6 +4,9 @@ A cycle's plan is written down before it is read: its windows, each with the cur
 A task reads one window's next pages and leaves a mark: the cursor it came to, and why it ended. The next plan is made of these
 marks, so windows are read by as many tasks as there are, and no page passes the driver. A cycle that is read again, after a lost
 executor or a restart, starts from the plan's cursors and ends at those of the marks, so neither loses nor adds a page.
+
+With the option most_pages, a window that its cap cut off has twice the pages in the next cycle, up to so many: a backlog then takes about
+its pages / most_pages cycles, and a task still reads no more than that at a time.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSourceStreamReader, InputPartition
 
 from ..functions.records import parsed_time
-from .upstream import CAPPED, OVERLAP, Lane, Walk, windows
+from .upstream import CAPPED, OVERLAP, PAGES, Lane, Walk, windows
 
 #: Failures in a row after which a window is left alone.
 FAILURES = 5
@@ -91,13 +94,19 @@ class UpstreamStream(DataSourceStreamReader):
     def _next(self, plan: dict, marks: list[dict]) -> dict | None:
         o = self.options
         most = int(o.get("failures", FAILURES))
-        lanes = [{k: m[k] for k in ("start", "end", "cursor", "page", "failures", "events", "last")} for m in marks if m["left"] is not None and m["failures"] < most]
+        kept = ("start", "end", "cursor", "page", "failures", "events", "last")
+        lanes = [{k: m[k] for k in kept} | self._cap(lane, m) for lane, m in zip(plan["lanes"], marks, strict=True) if m["left"] is not None and m["failures"] < most]
         until = int(time.time()) if o["until"] == "now" else int(o["until"])
         upto = int(o["since"]) if plan["upto"] is None else plan["upto"]
         if until > upto:
             lanes += [{"start": x.start, "end": x.end, "cursor": "", "page": 0, "failures": 0, "events": 0, "last": None} for x in windows(upto, until, int(o["window"]), int(o.get("overlap", OVERLAP)))]
         return {"lanes": lanes, "upto": max(until, upto)} if lanes else None
 
+    def _cap(self, lane: dict, mark: dict) -> dict:
+        """The cap on a window's next pages, where it isn't the option's."""
+        now, most = lane.get("pages", int(self.options.get("pages", PAGES))), int(self.options.get("most_pages", 0))
+        return {"pages": min(2 * now, most) if mark["left"] == CAPPED else now} if most > now else {"pages": lane["pages"]} if "pages" in lane else {}
+
     def partitions(self, start: dict, end: dict) -> list[Planned]:
         folder = self.folder
         return [Planned(n, lane) for n in range(start["cycle"] + 1, end["cycle"] + 1) for lane in folder.read(f"plan-{n:09d}.json")["lanes"]]
@@ -107,8 +116,9 @@ class UpstreamStream(DataSourceStreamReader):
         before = folder.read(name)
         if before and before["page"] == lane["page"]:
             return  # nothing came of it
-        options = self.options if before is None else self.options | {"pages": before["page"] - lane["page"]}
-        walk = Walk(options, Lane(lane["start"], lane["end"], lane["cursor"], lane["page"], before and before["cursor"]))
+        options = self.options | ({"pages": lane["pages"]} if "pages" in lane else {}) | ({"pages": before["page"] - lane["page"]} if before else {})
+        stop = before["cursor"] if before and before["left"] is not None else None  # a whole window's cursor is that of its last page
+        walk = Walk(options, Lane(lane["start"], lane["end"], lane["cursor"], lane["page"], stop))
         events, last = lane["events"], lane["last"]
         for row in walk:
             known = row[2] and row[2].endswith("+00:00")  # such times compare as text

@@ -234,3 +234,18 @@ def test_a_batch_pull_goes_on_behind_its_cap(spark, tmp_path):
     rows = upstream.pulled(spark, f"file://{tmp_path}/again", **options).collect()
     assert [(r.window_start, r.page, r.cursor) for r in rows if r.error] == [(100, 3, "k9")]
     assert sorted(r.source_event_id for r in rows if not r.error) == sorted(f"e{i}" for i in [*range(0, 145, 5), *range(200, 300, 5)])
+
+
+def test_a_backlog_takes_more_pages_in_each_cycle(tmp_path):
+    folder = tmp_path / "up"
+    folder.mkdir()
+    for k in range(40):
+        (folder / f"0-{k or ''}.json").write_text(json.dumps({"data": [{"id": f"e{k}", "created_at": k}], "next_cursor": str(k + 1), "has_more": k < 39}))
+    reader = polling.UpstreamStream({"address": f"file://{folder}/{{since}}-{{cursor}}.json", "since": "0", "until": "100", "window": "100", "overlap": "0", "pages": "2", "most_pages": "12", "attempts": "1", "state": f"file://{tmp_path}/state"})
+    start, seen, sizes = reader.initialOffset(), [], []
+    for _ in range(9):
+        end, rows = cycle(reader, start)
+        again = [row for p in reader.partitions(start, end) for row in reader.read(p)]
+        assert [r[0] for r in again] == [r[0] for r in rows]  # as after a restart
+        seen, sizes, start = seen + [r[0] for r in rows], [*sizes, len(rows)], end
+    assert sizes == [2, 4, 8, 12, 12, 2, 0, 0, 0] and seen == [f"e{k}" for k in range(40)]
