@@ -86,3 +86,26 @@ def test_provider_is_put_back(spark):
     with pytest.raises(ZeroDivisionError), S.rocks(spark):
         1 / 0
     assert spark.conf.get(S._PROVIDER, None) == before
+
+
+def test_a_timer_moves_a_conversations_state_once():
+    """Each call to a state is a message to the executor: their number must not grow with the observations."""
+    calls = []
+
+    class State:
+        def __init__(self, value):
+            self.value = value
+
+        def __getattr__(self, name):
+            def call(*given):
+                calls.append(name)
+                return self.value
+
+            return call
+
+    own = S.Stability(QUIET)
+    rows = [r[1:] for r in observations(1, conversations=1, n=500)]
+    own.handle, own.waiting, own.held = State(None), State(rows), State(None)
+    own.timer = State(10**9)
+    given = list(own.handleExpiredTimer(("c0",), own.timer, None))
+    assert len(calls) <= 6 and sorted(tuple(r) for r in given) == simulated([("c0", *r) for r in rows], 10**9)
