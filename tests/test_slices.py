@@ -2,7 +2,9 @@
 
 import pyarrow as pa
 
+from quillspark.operators.allowed_markup import with_sanitised
 from quillspark.operators.bodies import read_pages
+from quillspark.operators.markup import strict_markup
 
 SIZES = [40_000] * 100 + [3_000_000] + [10] * 400
 
@@ -25,5 +27,10 @@ def sliced(found):
     assert [int(x) for part in found for x in part] == list(range(len(SIZES))) and max(map(len, found)) <= 100
 
 
-def test_pages_are_read_in_slices():
+def test_pages_are_read_in_slices(spark):
     sliced(read_pages(Rows("page_id")))
+
+
+def test_markup_is_read_in_slices():
+    sliced(strict_markup(Rows("page_id")))
+    sliced(with_sanitised(Rows("key")))
