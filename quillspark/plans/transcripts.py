@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.transcripts import read_transcripts, submissions
+from ..operators.transcripts import read_transcripts, read_workspaces, submissions
 from ..sources.tables import table
 from .registry import query
 
@@ -63,6 +63,8 @@ _PAGE_URL = "concat('https://chat.e.org', if(c_custkey % 3 = 0, '/g/g-1/c/x', '/
 )
 def workspace_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What pages say of their workspaces: a hint, on which `workspace_decisions` has rules."""
-    pages = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.expr(_PAGE_URL).alias("url"), F.expr(_PAGE).alias("html"))
-    w = read_transcripts(pages).select(F.col("key").cast("long").alias("c_custkey"), "workspace.*")
+    # Customers are short and their pages take long: over all cores, however few files or groups of rows the table has.
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name").repartition(4 * spark.sparkContext.defaultParallelism)
+    pages = customers.select(F.col("c_custkey").cast("string").alias("key"), F.expr(_PAGE_URL).alias("url"), F.expr(_PAGE).alias("html"))
+    w = read_workspaces(pages).select(F.col("key").cast("long").alias("c_custkey"), "workspace.*")
     return w.select("c_custkey", F.coalesce("label", F.lit("")).alias("label"), F.coalesce("workspace_id", F.lit("")).alias("workspace_id"), F.array_join("signals", ",").alias("signals"), "personal")

@@ -73,3 +73,16 @@ def test_pages_without_rows_or_markup(spark):
     assert B.read_pages(empty).count() == 0 and submissions(read_transcripts(empty)).count() == 0
     [row] = B.read_pages(spark.range(1).select(F.col("id").alias("page_id"), F.lit(None).cast("string").alias("html"), F.lit("odd").alias("title"))).collect()
     assert (row.title, row.parts, row.text, row.links) == ("", [], "", [])
+
+
+def test_workspaces_take_all_cores_and_no_messages(spark, sf_dir, monkeypatch):
+    from quillspark.operators import transcripts
+    from quillspark.plans import catalogue
+
+    def none(*given):
+        raise AssertionError("messages are read")
+
+    monkeypatch.setattr(transcripts, "read_transcripts", none)
+    monkeypatch.setitem(catalogue.QUERIES["workspace_observations"].__globals__, "read_transcripts", none)
+    got = catalogue.QUERIES["workspace_observations"](spark, sf_dir)
+    assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and got.count() == spark.read.parquet(f"{sf_dir}/customer.parquet").count()
