@@ -18,7 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts at 5-word similarity of 0.8 or more the document with the smallest id stays."""
+    """Of each component of texts at 5-word similarity of 0.8 or more, as SimHash fingerprints and bands propose and an exact check
+    confirms, the document with the smallest id stays."""
     return one_of_similar(docs)
 
 

@@ -1,8 +1,8 @@
 """The pipeline's near-duplicates: texts whose sets of 5-word shingles have a Jaccard similarity of at least 0.8.
 
-Bands of minimal hashes propose pairs, components of proposals bound what is compared, and only links whose similarity was
-computed from the whole sets count. A fingerprint of 64 bits cannot serve here: at similarity 0.8 two of them differ in
-about ten bits, and thirds of them (or any segments long enough to be selective) miss most such pairs.
+SimHash fingerprints at most four bits apart propose pairs, by operator 10's join; an exact check follows, so that only links whose
+similarity was computed from the whole sets count. At similarity 0.8 two fingerprints differ in about ten bits, which no such
+join reaches: for these, bands of minimal hashes propose too. Components of all proposals bound what is compared.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, texts
 from .components import components
-from .simhash import first_of_each, shingle_hashes
+from .simhash import DISTANCE, fingerprint, first_of_each, near_pairs, shingle_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -32,9 +32,13 @@ _MIX = _RANDOM.integers(0, 1 << 63, ROWS, np.uint64) * np.uint64(2) + np.uint64(
 _BAND = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
+def distinct(hashes: list[int]) -> np.ndarray:
+    """A text's distinct shingles, sorted; one without words has the one shingle 0."""
+    return np.unique(np.array(hashes or [0], np.uint64))
+
+
 def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
-    """The distinct shingles' hashes, sorted; a text without words has the one shingle 0."""
-    return np.unique(np.array(shingle_hashes(text, size) or [0], np.uint64))
+    return distinct(shingle_hashes(text, size))
 
 
 def bands(own: np.ndarray) -> np.ndarray:
@@ -48,17 +52,36 @@ def bands(own: np.ndarray) -> np.ndarray:
 
 
 def banded(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, t (a hash of the text), keys of the bands, of each whole text."""
+    """doc_id, t (a hash of the text), fp (the fingerprint, as operator 10 makes it of shingles), keys of the bands, of each whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [bands(shingles(t, size)).view(np.int64) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "t", "keys"])
+            fps, keys = [], []
+            for text in b.column(1).to_pylist():
+                hashes = shingle_hashes(text, size)
+                fps.append(fingerprint(hashes))
+                keys.append(bands(distinct(hashes)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "t", "fp", "keys"])
+
+    return texts(docs).withColumn("t", F.xxhash64("text")).mapInArrow(run, "doc_id long, t long, fp long, keys array<long>")
 
-    return texts(docs).withColumn("t", F.xxhash64("text")).mapInArrow(run, "doc_id long, t long, keys array<long>")
+
+def near(marked: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Links (a, b) by fingerprint: from the least text of each to its others, and between the least of fingerprints that are near."""
+    each = marked.dropDuplicates(["t"]).select("fp", "t")
+    least = stored(each.groupBy("fp").agg(F.min("t").alias("low")))
+    same = each.join(least, "fp").where("t <> low").select(F.col("low").alias("a"), F.col("t").alias("b"))
+    first, second = (least.select(F.col("fp").alias(f), F.col("low").alias(c)) for f, c in (("f", "a"), ("g", "b")))
+    pairs = near_pairs(least, distance).select(F.col("a").alias("f"), F.col("b").alias("g"))
+    return pairs.join(first, "f").join(second, "g").select("a", "b").unionByName(same)
 
 
 def proposed(marked: DataFrame) -> DataFrame:
+    """Links (a, b) by fingerprints and by bands."""
+    return near(marked).unionByName(banded_alike(marked)).distinct()
+
+
+def banded_alike(marked: DataFrame) -> DataFrame:
     """Links (a, b) from the least text of each band's bucket to the others in it: as many as rows, whatever a bucket holds."""
     keyed = marked.dropDuplicates(["t"]).select("t", F.explode("keys").alias("key"))
     shared = stored(keyed.groupBy("key").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low < high").select("key", "low"))

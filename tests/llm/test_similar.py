@@ -87,3 +87,15 @@ def test_odd_rows_and_uncovered_distances(spark):
     assert similar.one_of_similar(empty(spark)).count() == 0
     with pytest.raises(ValueError):
         simhash.near_duplicates(odd(spark), distance=6)
+
+
+def test_fingerprints_alone_find_near_copies(spark, monkeypatch):
+    """Without the bands, what is at most four bits apart is found, and checked."""
+    texts = texts_with_copies()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    prints = [simhash.fingerprint(simhash.shingle_hashes(t, similar.SHINGLE)) for t in texts]
+    near = {(i, j) for j in range(len(texts)) for i in range(j) if (prints[i] ^ prints[j]).bit_count() <= simhash.DISTANCE}
+    assert len(near) > 3 and all(jaccard(texts[i], texts[j]) >= 0.8 for i, j in near)
+    monkeypatch.setattr(similar, "banded_alike", lambda marked: spark.createDataFrame([], "a long, b long"))
+    assert len({k for pair in near for k in pair}) == 2 * len(near)  # pairs, no chains
+    assert {r.doc_id for r in similar.one_of_similar(df).collect()} == set(range(len(texts))) - {j for _, j in near}
