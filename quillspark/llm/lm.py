@@ -5,20 +5,21 @@ other word is in the class of its ending, known or not, in which it keeps its sh
 tells as context, and gets as target, what words of its form have in common. Scores add a row for each earlier class, so all
 normalisers come from one product of two exponentiated score matrices, and every probability is exact.
 
-Training doesn't depend on partitions: texts are dealt to rounds and shards, and ordered, by their own hash.
+Training doesn't depend on partitions: texts are dealt to rounds and shards, and ordered, by their own hash. Words are split
+and looked up by Arrow, once for counts and once for classes; rounds and scores read the classes that this has stored.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,12 +39,27 @@ ROUNDS = (1, 4, 9, 16)
 #: Training tokens of a shard, about.
 SHARD = 1_000_000
 FLUSH = 400_000
+#: Bytes of texts, or of their classes, that are taken at once.
+SLICE = 1 << 22
 
-LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts as bytes, and how many each text has."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # A-Z alone; splits at exactly \x20 and \x09-\x0D
+    every = parts.flatten().cast(pa.binary())
+    words = pc.greater(pc.binary_length(every), 0)  # the ends of a text give empty parts
+    upto = np.r_[0, np.cumsum(words.to_numpy(zero_copy_only=False))]
+    return every.filter(words), np.diff(upto[np.r_[0, np.cumsum(pc.list_value_length(parts).to_numpy())]])
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode().translate(LOWER).split()  # bytes split at exactly \x20 and \x09-\x0D
+
+def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Rows that have up to SLICE bytes in this column together, or one row."""
+    for b in batches:
+        upto, i = np.r_[0, np.cumsum(pc.binary_length(b.column(column)).to_numpy().astype(np.int64))], 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(upto, upto[i] + SLICE, "right")) - 1)
+            yield b.slice(i, j - i)
+            i = j
 
 
 def marked(docs: DataFrame) -> DataFrame:
@@ -56,18 +72,22 @@ def word_counts(training: DataFrame) -> DataFrame:
     """(word, n) over whole texts, counted in each task first; stored. Ends of texts are not among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], ["word", "n"])
-
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                held.update(words_of(text))
-                if len(held) > FLUSH:
-                    yield out()
-                    held.clear()
-        yield out()
+        held, size = [], 0
+
+        def merged() -> pa.Table:
+            return pa.Table.from_batches(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+        for b in _slices(batches, "text"):
+            found = words_of(b.column("text"))[0].value_counts()
+            held.append(pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "n"]))
+            size += len(found)
+            if size > 2 * FLUSH:
+                held = merged().combine_chunks().to_batches()
+                if (size := sum(x.num_rows for x in held)) > FLUSH:
+                    yield from held
+                    held, size = [], 0
+        if held:
+            yield from merged().to_batches()
 
     return stored(training.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
 
@@ -116,7 +136,8 @@ def corpus(training: DataFrame, counted: DataFrame, head: int = HEAD, endings: i
         if taken + words > head:
             break
         least, taken = level, taken + words
-    top = sorted(((-r.n, bytes(r.word)) for r in fits.where(F.col("level") >= least).select("n", "word").collect()))  # at most head rows
+    found = fits.where(F.col("level") >= least).select((-F.col("n")).alias("n"), "word").toArrow()  # at most head rows
+    top = sorted(zip(*(c.to_pylist() for c in found.columns), strict=True))
     last = F.expr("crc32(case when length(word) < 2 then word else substring(word, length(word) - 1, 2) end)")
     by_ending = np.zeros(endings)
     for r in counted.groupBy((last % endings).alias("k")).agg(F.sum(F.col("n") + 0.5)).collect():  # at most endings rows
@@ -128,21 +149,17 @@ class Classes:
     """Words to positions in the head (-1: not there) and to classes."""
 
     def __init__(self, head: list[bytes], own: int, endings: int):
-        self.place = {w: i for i, w in enumerate(head)}
-        self.own, self.endings, self.ends = own, endings, {}
+        self.head, self.own, self.endings = pa.array(head, pa.binary()), own, endings
         self.of_head = np.array([*range(1, own + 1), *(own + 1 + ending(w, endings) for w in head[own:]), 0], np.int64)
 
-    def places(self, words: list[bytes]) -> np.ndarray:
-        get = self.place.get
-        return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-
-    def of(self, words: list[bytes], places: np.ndarray) -> np.ndarray:
-        out, ends = self.of_head[places], self.ends
-        for i in np.flatnonzero(places < 0).tolist():
-            last = words[i][-2:]
-            if last not in ends:
-                ends[last] = self.own + 1 + ending(last, self.endings)
-            out[i] = ends[last]
+    def places(self, words: pa.Array) -> np.ndarray:
+        return pc.fill_null(pc.index_in(words, value_set=self.head), -1).to_numpy()
+
+    def of(self, words: pa.Array, places: np.ndarray) -> np.ndarray:
+        out, others = self.of_head[places], np.flatnonzero(places < 0)
+        last = pc.binary_slice(words.take(pa.array(others)), -2).dictionary_encode()
+        by_last = np.array([self.own + 1 + ending(x, self.endings) for x in last.dictionary.to_pylist()], np.int64)
+        out[others] = by_last[last.indices.to_numpy()]
         return out
 
 
@@ -167,56 +184,82 @@ class Model:
 
     def train(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, noise: np.ndarray, log_noise: np.ndarray) -> None:
         """One step of noise-contrastive estimation: true tokens w against shared noise, each as if drawn with its probability."""
-        k, many = len(self.bias), len(noise)
-        hidden = self.one[v] + self.two[u]
-        true = np.einsum("ij,ij->i", hidden, self.target[w]) + self.bias[w] - log_noise[w] - math.log(many)
-        up = 1 / (1 + np.exp(np.clip(true, -30, 30)))
-        down = hidden @ self.target[noise].T  # from here on in place: what takes time are passes over new memory
-        down += self.bias[noise] - log_noise[noise] - np.float32(math.log(many))
-        np.clip(down, -30, 30, out=down)
-        np.exp(np.negative(down, out=down), out=down)
+        k, many, width = len(self.bias), len(noise), self.tables.shape[1]
+        hidden = self.tables.take(v, axis=0) + self.tables.take(k + u, axis=0)
+        hidden[:, -1] = 1  # meets the bias
+        right, wrong = self.tables.take(2 * k + w, axis=0), self.tables.take(2 * k + noise, axis=0)
+        true = np.einsum("ij,ij->i", hidden, right) - log_noise[w] - np.float32(math.log(many))
+        less = wrong.copy()
+        less[:, -1] -= log_noise[noise] + np.float32(math.log(many))
+        with np.errstate(over="ignore"):  # beyond what exp can hold, the probability is 0
+            up = 1 / (1 + np.exp(true))
+            down = hidden @ -less.T  # from here on in place: what takes time are passes over new memory
+            np.exp(down, out=down)
         down += 1
-        np.divide(-1, down, out=down)
-        at_hidden = up[:, None] * self.target[w] + down @ self.target[noise]
-        at_target = np.r_[np.c_[up[:, None] * hidden, up], np.c_[down.T @ hidden, down.sum(axis=0)]]
-        for index, rows in ((v, at_hidden), (k + u, at_hidden), (2 * k + np.r_[w, noise], at_target)):
-            order = np.argsort(index, kind="stable")
-            first = np.flatnonzero(np.r_[True, np.diff(index[order]) > 0])
-            at, step = index[order][first], np.add.reduceat(rows[order], first, axis=0) / np.float32(len(w))
-            here = slice(step.shape[1])
-            self.adapted[at, here] += step * step
-            self.tables[at, here] += RATE * step / np.sqrt(self.adapted[at, here])
+        np.reciprocal(down, out=down)
+        at_hidden = up[:, None] * right - down @ wrong
+        at_hidden[:, -1] = 0
+        rows = np.concatenate([at_hidden, at_hidden, up[:, None] * hidden, -(down.T @ hidden)])
+        index = np.concatenate([v, k + u, 2 * k + w, 2 * k + noise])
+        # Sums by row over the whole table, as one flat histogram: sorting rows takes longer. Rows that aren't met add 0.
+        at = (index[:, None] * width + np.arange(width)).ravel()
+        step = (np.bincount(at, rows.ravel(), self.tables.size) / len(w)).astype(np.float32).reshape(self.tables.shape)
+        self.adapted += step * step
+        step *= np.float32(RATE)
+        step /= np.sqrt(self.adapted)
+        self.tables += step
 
     def log_tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Scores by earlier class, bias, and the log of the normaliser of every pair of earlier classes."""
-        one, two = (np.clip(x.astype(np.float64) @ self.target.T.astype(np.float64), -40, 40) for x in (self.one, self.two))
-        bias, tables = self.bias.astype(np.float64), (one.astype(np.float32), two.astype(np.float32))
-        np.exp(one, out=one)
-        one *= np.exp(bias)
-        norm = one @ np.exp(two, out=two).T
-        return *tables, bias, np.log(norm, out=norm)
+        k, bias, target = len(self.bias), self.bias.astype(np.float64), self.target.T.astype(np.float64)
+        one, two, norm = (np.empty((k, k), np.float32) for _ in range(3))
+
+        def by_token(rows: np.ndarray) -> np.ndarray:
+            out = rows.astype(np.float64) @ target
+            return np.clip(out, -40, 40, out=out)
+
+        mass = by_token(self.two)
+        two[:] = mass
+        np.exp(mass, out=mass)
+        mass *= np.exp(bias)
+        for i in range(0, k, 256):  # the driver holds one whole table of doubles, no more
+            part = by_token(self.one[i : i + 256])
+            one[i : i + 256] = part
+            norm[i : i + 256] = np.log(np.exp(part, out=part) @ mass.T)
+        return one, two, bias, norm
+
+
+def _context(classes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(one before, two before, token) by class, of whole texts with their ends: an end stands before what follows it."""
+    v = np.r_[0, classes[:-1]]
+    u = np.r_[0, v[:-1]]
+    u[starts] = 0
+    return np.stack([v, u, classes])
+
 
+def _steps(texts: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """_context of texts, given as their classes, in batches of BATCH tokens and a last one."""
+    held, size, rest = [], 0, np.zeros((3, 0), np.int64)
+
+    def every() -> np.ndarray:
+        starts = np.cumsum([0, *(len(x) for x in held[:-1])])
+        return np.concatenate([rest, _context(np.concatenate(held).astype(np.int64), starts)], axis=1)
 
-def _steps(texts: Iterator[str], classes: Classes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(one before, two before, token) by class, in batches."""
-    held, size = [], 0
     for text in texts:
-        words = words_of(text)
-        seen = np.r_[0, 0, classes.of(words, classes.places(words)), 0]
-        held.append(np.stack([seen[1:-1], seen[:-2], seen[2:]]))
-        size += len(words) + 1
+        held.append(text)
+        size += len(text)
         if size >= 16 * BATCH:
-            every = np.concatenate(held, axis=1)
-            for i in range(0, size - BATCH + 1, BATCH):
-                yield tuple(every[:, i : i + BATCH])
-            held, size = [every[:, size - size % BATCH :]], size % BATCH
-    if size:
-        every = np.concatenate(held, axis=1)
-        for i in range(0, size, BATCH):
-            yield tuple(every[:, i : i + BATCH])
+            ready = every()
+            full = ready.shape[1] // BATCH * BATCH
+            for i in range(0, full, BATCH):
+                yield tuple(ready[:, i : i + BATCH])
+            held, size, rest = [], 0, ready[:, full:]
+    ready = every() if held else rest
+    for i in range(0, ready.shape[1], BATCH):
+        yield tuple(ready[:, i : i + BATCH])
 
 
-def trained(dealt: DataFrame, start: Model, shards: int, classes, mass: np.ndarray) -> Model:
+def trained(dealt: DataFrame, start: Model, shards: int, mass: np.ndarray) -> Model:
     """Each shard trains a model on its texts in the order of their hashes, all from the same start; the models and their past
     steps are averaged, weighted by tokens, row by row in Spark. The texts of a shard are read as a stream, never held."""
     width = start.tables.shape[1]
@@ -227,11 +270,11 @@ def trained(dealt: DataFrame, start: Model, shards: int, classes, mass: np.ndarr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         share = mass / mass.sum()
         log_noise, total = np.log(share).astype(np.float32), np.cumsum(share)
-        index = Classes(*classes.value)
-        rows = ((s, t) for b in batches for s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        kind = _kind(len(mass))
+        rows = ((s, x) for b in batches for s, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
         for shard, own in groupby(rows, lambda r: r[0]):
             model, n, rng = Model(*(x.copy() for x in given.value)), 0, np.random.default_rng((11, shard))
-            for v, u, w in _steps((t for _, t in own), index):
+            for v, u, w in _steps(np.frombuffer(x, kind) for _, x in own):
                 noise = np.minimum(np.searchsorted(total, rng.random(NOISE)), len(mass) - 1)
                 model.train(v, u, w, noise, log_noise)
                 n += len(w)
@@ -239,8 +282,8 @@ def trained(dealt: DataFrame, start: Model, shards: int, classes, mass: np.ndarr
             rows_of = [pa.array(np.arange(len(values))), pa.array(np.full(len(values), n))]
             yield pa.RecordBatch.from_arrays([*rows_of, *(pa.array(np.ascontiguousarray(values[:, i])) for i in range(2 * width))], ["row", "n", *columns])
 
-    by_shard = dealt.withColumn("shard", F.pmod(F.shiftright("hash", 4), F.lit(shards)).cast("int")).repartition(shards, "shard").sortWithinPartitions("shard", "hash", "text")
-    each = by_shard.select("shard", "text").mapInArrow(run, "row long, n long, " + ", ".join(f"{c} float" for c in columns))
+    by_shard = dealt.withColumn("shard", F.pmod(F.shiftright("hash", 4), F.lit(shards)).cast("int")).repartition(shards, "shard").sortWithinPartitions("shard", "hash", "classes")
+    each = by_shard.select("shard", "classes").mapInArrow(run, "row long, n long, " + ", ".join(f"{c} float" for c in columns))
     mean = each.groupBy("row").agg(*[(F.sum(F.col(c).cast("double") * F.col("n")) / F.sum("n")).alias(c) for c in columns])
     out = np.c_[start.tables, start.adapted]
     for r in mean.collect():  # as many rows as the model has, whatever the corpus
@@ -255,71 +298,110 @@ class Fitted:
     known: Corpus
     counted: DataFrame
     model: Model
-    mass: np.ndarray
 
 
-def fit(training: DataFrame, head: int = HEAD, endings: int = ENDINGS, width: int = WIDTH, shard: int = SHARD) -> Fitted:
-    """The model of the texts that marked() has made. The same rows give the same model, however they are partitioned, up to
-    the order in which Spark adds floating-point numbers."""
-    counted = word_counts(training)
-    known = corpus(training, counted, head, endings)
+def _kind(classes: int) -> np.dtype:
+    """What a class is stored as."""
+    return np.min_scalar_type(classes - 1)
+
+
+def coded(docs: DataFrame, known: Corpus) -> DataFrame:
+    """Each text of marked() as its classes, the end's included, with its sums over what its task knows, and the words it must
+    look up: row, doc_id, held_out, hash, n_tokens, n_known, base, shares, classes, rest; stored."""
+    half_end, texts_known, mass = math.log10(known.texts + 0.5), int(known.texts > 0), known.class_mass()
+    given = docs.sparkSession.sparkContext.broadcast((known.head, known.own, len(known.by_ending), known.counts, mass))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, own_words, endings, counts, mass = given.value
+        index, logs = Classes(head, own_words, endings), np.r_[np.log10(counts + 0.5), 0]  # 0: not in the head
+        within = np.r_[np.zeros(own_words + 1), -np.log10(mass[own_words + 1 :])]
+        row = TaskContext.get().partitionId() << 33
+        for b in _slices(batches, "text"):
+            words, lengths = words_of(b.column("text"))
+            places = index.places(words)
+            own, others = index.of(words, places), np.flatnonzero(places < 0)
+            upto = np.cumsum(lengths + 1)
+            inside = np.ones(upto[-1], bool)
+            inside[upto - 1] = False  # the texts' ends
+            classes = np.zeros(len(inside), _kind(len(mass)))
+            classes[inside] = own
+            values = np.zeros((3, len(inside)))  # an end adds nothing here
+            values[:, inside] = places >= 0, logs[places], within[own] + np.where(places >= own_words, logs[places], 0)
+            n_known, base, shares = np.add.reduceat(values, upto - lengths - 1, axis=1)
+            text = np.repeat(np.arange(len(lengths)), lengths)[others]
+            rest = pa.table({"text": text, "word": words.take(pa.array(others))}).group_by(["text", "word"], use_threads=False).aggregate([([], "count_all")]).sort_by("text")
+            rest_words = pa.StructArray.from_arrays([rest.column(c).combine_chunks() for c in ("word", "count_all")], ["word", "n"])
+            rest_upto = np.searchsorted(rest.column("text").to_numpy(), np.arange(len(lengths) + 1)).astype(np.int32)
+            bytes_upto = (np.r_[0, upto] * classes.itemsize).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(row + np.arange(b.num_rows)), *(b.column(c) for c in ("doc_id", "held_out", "hash")), pa.array(lengths + 1),
+                    pa.array(n_known.astype(np.int64) + texts_known), pa.array(base + half_end), pa.array(shares),
+                    pa.BinaryArray.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(bytes_upto), pa.py_buffer(classes)]), pa.ListArray.from_arrays(pa.array(rest_upto), rest_words),
+                ],
+                ["row", "doc_id", "held_out", "hash", "n_tokens", "n_known", "base", "shares", "classes", "rest"],
+            )
+            row += b.num_rows
+
+    schema = "row long, doc_id long, held_out boolean, hash long, n_tokens long, n_known long, base double, shares double, classes binary, rest array<struct<word:binary,n:long>>"
+    # The id is part of the hash, so that it deals copies of a text to many shards.
+    return stored(docs.select("doc_id", "text", "held_out", F.xxhash64("doc_id", "text").alias("hash")).mapInArrow(run, schema))
+
+
+def _learned(training: DataFrame, known: Corpus, width: int, shard: int) -> Model:
+    """The model of the texts that coded() has made."""
     mass = known.class_mass()
     model = Model.start(mass, width)
     if known.texts:
-        classes = training.sparkSession.sparkContext.broadcast((known.head, known.own, len(known.by_ending)))
-        hashed = training.select("text", F.xxhash64("doc_id", "text").alias("hash"))  # the id deals copies of a text to many shards
         part = F.pmod(F.col("hash"), F.lit(ROUNDS[-1]))
         for first, last in zip((0, *ROUNDS), ROUNDS, strict=False):
             shards = max(1, round(known.tokens * (last - first) / ROUNDS[-1] / shard))
-            model = trained(hashed.where((part >= first) & (part < last)), model, shards, classes, mass)
-    return Fitted(known, counted, model, mass)
+            model = trained(training.where((part >= first) & (part < last)).select("hash", "classes"), model, shards, mass)
+    return model
 
 
-def _scored(docs: DataFrame, fitted: Fitted) -> DataFrame:
-    """Each text's sums over what its task knows, and the words it must look up: row, doc_id, held_out, n_tokens, n_known, base, model, rest."""
-    known, context = fitted.known, docs.sparkSession.sparkContext
-    half_end, texts_known = math.log10(known.texts + 0.5), int(known.texts > 0)
-    given = context.broadcast((known.head, known.own, len(known.by_ending), known.counts, fitted.mass, fitted.model.log_tables()))
+def fit(training: DataFrame, head: int = HEAD, endings: int = ENDINGS, width: int = WIDTH, shard: int = SHARD) -> Fitted:
+    """The model of the texts that marked() has made. The same rows give the same model, however they are partitioned, up to
+    the order in which Spark adds floating-point numbers."""
+    counted = word_counts(training)
+    known = corpus(training, counted, head, endings)
+    return Fitted(known, counted, _learned(coded(training, known), known, width, shard))
+
+
+def _scored(texts: DataFrame, fitted: Fitted) -> DataFrame:
+    """coded() texts with their score by the model, without the words that must be looked up."""
+    given = texts.sparkSession.sparkContext.broadcast(fitted.model.log_tables())
+    columns = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, own_words, endings, counts, mass, (one, two, bias, norm) = given.value
-        index, logs = Classes(head, own_words, endings), np.log10(counts + 0.5)
-        within = np.r_[np.zeros(own_words + 1), -np.log10(mass[own_words + 1 :])]
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))]
-        row = TaskContext.get().partitionId() << 33
-        for part in (b.slice(i, 128) for b in batches for i in range(0, b.num_rows, 128)):
-            out = []
-            for doc, text, held_out in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                words = words_of(text)
-                places = index.places(words)
-                own = index.of(words, places)
-                seen = np.r_[0, 0, own, 0]
-                v, u, w = seen[1:-1], seen[:-2], seen[2:]
-                score = float((one[v, w].astype(np.float64) + two[u, w] + bias[w] - norm[v, u]).sum()) / math.log(10)
-                here = places[places >= 0]
-                shares = float(within[own].sum() + logs[here[here >= own_words]].sum())
-                rest = Counter(words[i] for i in np.flatnonzero(places < 0).tolist())
-                out.append((row, doc, held_out, len(words) + 1, len(here) + texts_known, float(logs[here].sum()) + half_end, score + shares, [{"word": x, "n": n} for x, n in rest.items()]))
-                row += 1
-            columns = zip(*out, strict=True) if out else [()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rest"])
-
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, rest array<struct<word:binary,n:long>>"
-    return stored(docs.select("doc_id", "text", "held_out").mapInArrow(run, schema))
+        one, two, bias, norm = given.value
+        k = len(bias)
+        for b in _slices(batches, "classes"):
+            upto = np.cumsum(b.column("n_tokens").to_numpy())
+            starts = np.r_[0, upto[:-1]]
+            v, u, w = _context(np.frombuffer(b"".join(b.column("classes").to_pylist()), _kind(k)).astype(np.int64), starts)
+            logs = one.ravel().take(v * k + w).astype(np.float64) + two.ravel().take(u * k + w) + bias[w] - norm.ravel().take(v * k + u)
+            score = np.add.reduceat(logs, starts) / math.log(10) + b.column("shares").to_numpy()
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(score)], [*columns, "model"])
+
+    return texts.select(*columns, "shares", "classes").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double")
 
 
 def scores(docs: DataFrame, fitted: Fitted) -> DataFrame:
     """The columns of lm_scores for docs, which marked() has made."""
+    return _scores(coded(docs, fitted.known), fitted)
+
+
+def _scores(texts: DataFrame, fitted: Fitted) -> DataFrame:
     known = fitted.known
-    first = _scored(docs, fitted)
-    rest = first.select("row", F.explode("rest").alias("x")).select("row", "x.word", "x.n")
+    rest = texts.select("row", F.explode("rest").alias("x")).select("row", "x.word", "x.n")
     found = rest.join(fitted.counted.select("word", F.col("n").alias("c")), "word", "left")
     logs = F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))
     sums = found.groupBy("row").agg(F.sum(F.col("n") * logs).alias("logs"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("seen"))
     logs = F.coalesce("logs", F.lit(0.0))
     base = F.col("base") + logs - F.col("n_tokens") * F.lit(math.log10(known.base_mass))
     score = F.col("model") + logs if known.texts else base
-    out = first.drop("rest").join(sums, "row", "left")
+    out = _scored(texts, fitted).join(sums, "row", "left")
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(known.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
 
 
@@ -332,4 +414,8 @@ def lm_scores(docs: DataFrame, head: int = HEAD, endings: int = ENDINGS, width:
     any training text score is base_score.
     """
     docs = marked(docs)
-    return scores(docs, fit(docs.where(~F.col("held_out")), head, endings, width, shard))
+    training = docs.where(~F.col("held_out"))
+    counted = word_counts(training)
+    known = corpus(training, counted, head, endings)
+    texts = coded(docs, known)  # once, for training and scores
+    return _scores(texts, Fitted(known, counted, _learned(texts.where(~F.col("held_out")), known, width, shard)))
