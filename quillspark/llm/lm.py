@@ -39,8 +39,8 @@ ROUNDS = (1, 4, 9, 16)
 #: Training tokens of a shard, about.
 SHARD = 1_000_000
 FLUSH = 400_000
-#: Bytes of texts, or of their classes, that are taken at once.
-SLICE = 1 << 22
+#: Bytes of texts that are taken at once, and of their classes, which scoring makes many times larger.
+SLICE, CODED = 1 << 22, 1 << 19
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -52,12 +52,12 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return every.filter(words), np.diff(upto[np.r_[0, np.cumsum(pc.list_value_length(parts).to_numpy())]])
 
 
-def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Rows that have up to SLICE bytes in this column together, or one row."""
+def _slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Rows that have up to `most` bytes in this column together, or one row."""
     for b in batches:
         upto, i = np.r_[0, np.cumsum(pc.binary_length(b.column(column)).to_numpy().astype(np.int64))], 0
         while i < b.num_rows:
-            j = max(i + 1, int(np.searchsorted(upto, upto[i] + SLICE, "right")) - 1)
+            j = max(i + 1, int(np.searchsorted(upto, upto[i] + most, "right")) - 1)
             yield b.slice(i, j - i)
             i = j
 
@@ -376,7 +376,7 @@ def _scored(texts: DataFrame, fitted: Fitted) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two, bias, norm = given.value
         k = len(bias)
-        for b in _slices(batches, "classes"):
+        for b in _slices(batches, "classes", CODED):
             upto = np.cumsum(b.column("n_tokens").to_numpy())
             starts = np.r_[0, upto[:-1]]
             v, u, w = _context(np.frombuffer(b"".join(b.column("classes").to_pylist()), _kind(k)).astype(np.int64), starts)

@@ -21,10 +21,9 @@ def test_words_equal_the_pattern(kind):
     assert words.to_pylist() == [x.encode() for w in want for x in w]
 
 
-def test_slices_hold_all_rows_and_few_bytes(monkeypatch):
-    monkeypatch.setattr(lm, "SLICE", 10)
+def test_slices_hold_all_rows_and_few_bytes():
     b = pa.RecordBatch.from_pydict({"text": ["abc", "", "defgh", "ij", "x" * 50, "", "kl"]})
-    parts = [x.column("text").to_pylist() for x in lm._slices(iter([b.slice(0, 0), b]), "text")]
+    parts = [x.column("text").to_pylist() for x in lm._slices(iter([b.slice(0, 0), b]), "text", 10)]
     assert parts == [["abc", "", "defgh", "ij"], ["x" * 50], ["", "kl"]] and [t for p in parts for t in p] == b.column("text").to_pylist()
 
 
