@@ -27,8 +27,9 @@ def logged(work: Callable[[DataFrame, int], int | None], log: str, query: str, w
     folder = Folder(log)
 
     def run(batch: DataFrame, number: int) -> None:
-        attempt = uuid.uuid4().hex
-        entry = {"attempt": attempt, "query": query, "batch": number, "worker": worker, "started_ms": time.time_ns() // 1_000_000}
+        begun = time.time_ns()
+        attempt = f"{begun:020d}-{uuid.uuid4().hex}"  # ids of one millisecond are in order of time
+        entry = {"attempt": attempt, "query": query, "batch": number, "worker": worker, "started_ms": begun // 1_000_000}
         folder.write(f"begun-{attempt}.json", entry)
         try:
             outcome = {"succeeded": True, "result": work(batch, number)}

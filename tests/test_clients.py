@@ -1,5 +1,8 @@
 """Statuses, revocations and attempts: odd rows, ties, losses."""
 
+import itertools
+from types import SimpleNamespace
+
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
@@ -65,6 +68,15 @@ def test_attempts_that_end_fail_or_are_lost(spark):
     assert A.health(A.attempts(spark, log).where("query = 'q'")).first()[:3] == ("q", 6, False)
 
 
+def test_attempts_of_one_millisecond_keep_their_order(spark, monkeypatch):
+    log, now = scratch(spark), itertools.count(1_700_000_000_000_000_000)
+    monkeypatch.setattr(A, "time", SimpleNamespace(time_ns=lambda: next(now)))
+    for k in range(12):
+        A.logged(lambda batch, number, k=k: k, log, "q")(None, 0)
+    rows = A.attempts(spark, log).orderBy("attempt_number").collect()
+    assert len({r.started_at for r in rows}) == 1 and [r.result for r in rows] == list(range(12))
+
+
 def test_a_stream_that_never_succeeds_raises_in_the_end(spark):
     log, folder = scratch(spark), scratch(spark)
     spark.range(3).write.parquet(f"{folder}/rows")
