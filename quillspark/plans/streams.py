@@ -45,9 +45,10 @@ def sanitize_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""select page_id, {_PLAIN("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} as title, cast(len(u) as int) as links, array_to_string(u, ' ') as urls from (select page_id, html, regexp_extract_all(html, '<a [^>]*href="(https?:[^"]*)"', 1) as u from pages)""")
 def html_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles, and links that leave the page's site or name it in full."""
+    """Titles, and links that leave the page's site or name it in full; nulls for a page without markup."""
     p = read_pages(table(spark, sf_dir, "pages"))
-    return p.select("page_id", "title", F.size("links").alias("links"), F.array_join("links", " ").alias("urls"))
+    of = lambda x, name: F.when(F.col("given"), x).alias(name)
+    return p.select("page_id", of(F.col("title"), "title"), of(F.size("links"), "links"), of(F.array_join("links", " "), "urls"))
 
 
 @query(r"select doc_id, len(t) as tokens, sha256(array_to_string(t, ' ')) as tokens_sha256 from (select doc_id, list_sort(list_distinct(regexp_extract_all(lower(regexp_replace(text, '[^\x00-\x7F]', ' ', 'g')), '[a-z0-9]+'))) as t from documents)")
